@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightledger.params import Params
+from sightledger.schema import FILTER_REASON_LABELS
 
 
 def point_grid(images: DataFrame, per_side: int) -> DataFrame:
@@ -129,3 +130,8 @@ def containment(inter: Column, inner_area: Column) -> Column:
 def reason_kind(reason: Column) -> Column:
     """Strip the id or message suffix: ``duplicate_mask:prop_x`` -> ``duplicate_mask``."""
     return F.split_part(reason, F.lit(":"), F.lit(1))
+
+
+def reason_label(kind: Column) -> Column:
+    """Display label of a reason kind; an unknown kind shows itself."""
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in FILTER_REASON_LABELS.items()], kind)

@@ -146,27 +146,87 @@ _OUTCOME = "kept_rank int, filter_reason string"
 _SOLVED = "source_id string, id string, " + _OUTCOME
 
 
+# Cells of the dense coverage matrix one block may use (float64: 80 MB).
+_BLOCK_CELLS = 10_000_000
+
+
+def _shared_pixels(starts: list, ends: list) -> np.ndarray:
+    """Pairwise intersections of masks, by one product over elementary intervals."""
+    n = len(starts)
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    owner = np.repeat(np.arange(n), [len(x) for x in starts])
+    cuts = np.unique(np.concatenate([s, e]))
+    width = len(cuts)
+    opened = np.bincount(owner * width + np.searchsorted(cuts, s), minlength=n * width)
+    closed = np.bincount(owner * width + np.searchsorted(cuts, e), minlength=n * width)
+    cover = np.cumsum((opened - closed).reshape(n, width), axis=1)[:, :-1].astype(np.float64)
+    return (cover * np.diff(cuts)) @ cover.T
+
+
+def _solve_image(ids, areas, starts, ends, base, p: Params):
+    """Ranks and reasons of one image's candidates, given in score order.
+
+    Blocks of candidates are related by one matrix product; only the kept masks of
+    earlier blocks are looked at again.
+    """
+    n = len(ids)
+    ranks, reasons = [None] * n, [None] * n
+    kept = _KeptMasks()
+    runs = max(1.0, sum(len(x) for x in starts) / n)
+    size = int(min(256, max(16, math.sqrt(_BLOCK_CELLS / runs))))
+    for lo in range(0, n, size):
+        hi = min(n, lo + size)
+        area = areas[lo:hi].astype(np.float64)
+        shared = _shared_pixels(starts[lo:hi], ends[lo:hi])
+        lower = np.tri(hi - lo, k=-1, dtype=bool)
+        union = area[:, None] + area[None, :] - shared
+        dup = lower & (shared / union >= p.duplicate_iou)
+        cont = lower & (area[:, None] < area[None, :]) & (shared / area[:, None] >= p.containment)
+        near = np.flatnonzero((dup | cont).any(axis=1))
+        touched = set(near.tolist())
+        kept_here = np.zeros(hi - lo, dtype=bool)
+        earlier = len(kept.ids)
+        block_kept = []
+        for i in range(hi - lo):
+            d = c = None
+            if earlier:
+                d, c = kept.relation(area[i], starts[lo + i], ends[lo + i], p, earlier)
+                d = None if d is None else kept.ids[d]
+                c = None if c is None else kept.ids[c]
+            if d is None and i in touched:
+                hit = np.flatnonzero(dup[i] & kept_here)
+                if len(hit):
+                    d = ids[lo + hit[0]]
+                elif c is None:
+                    inside = np.flatnonzero(cont[i] & kept_here)
+                    c = ids[lo + inside[0]] if len(inside) else None
+            if d is not None:
+                reasons[lo + i] = f"duplicate_mask:{d}"
+            elif c is not None:
+                reasons[lo + i] = f"contained_mask:{c}"
+            else:
+                kept_here[i] = True
+                block_kept.append(lo + i)
+                ranks[lo + i] = base + earlier + len(block_kept)
+        if hi < n:
+            for i in block_kept:
+                kept.add(ids[i], areas[i], None, starts[i], ends[i])
+    return ranks, reasons
+
+
 def _solve_images(pdf: pd.DataFrame, p: Params, carry: list[str]) -> pd.DataFrame:
     """Greedy pass over every image of a bounded batch of rows."""
     pdf = pdf.assign(_neg=-pdf["score"]).sort_values(["source_id", "_neg", "raw_candidate_id"])
+    sources = pdf["source_id"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], sources[1:] != sources[:-1]))) if len(pdf) else []
+    ids, areas = pdf["id"].to_numpy(), pdf["area"].to_numpy()
+    starts, ends = list(pdf["starts"]), list(pdf["ends"])
+    base = pdf["base"].to_numpy()
     ranks, reasons = [], []
-    source = kept = None
-    for src, cid, area, starts, ends, base in zip(
-        pdf["source_id"], pdf["id"], pdf["area"], pdf["starts"], pdf["ends"], pdf["base"]
-    ):
-        if src != source:
-            source, kept = src, _KeptMasks()
-        dup, cont = kept.relation(area, starts, ends, p)
-        rank = reason = None
-        if dup is not None:
-            reason = f"duplicate_mask:{kept.ids[dup]}"
-        elif cont is not None:
-            reason = f"contained_mask:{kept.ids[cont]}"
-        else:
-            kept.add(cid, area, None, starts, ends)
-            rank = base + len(kept.ids)
-        ranks.append(rank)
-        reasons.append(reason)
+    for lo, hi in zip(first, [*first[1:], len(pdf)]):
+        r, why = _solve_image(ids[lo:hi], areas[lo:hi], starts[lo:hi], ends[lo:hi], int(base[lo]), p)
+        ranks += r
+        reasons += why
     out = pdf[carry].copy()
     out["kept_rank"] = pd.array(ranks, dtype="Int32")
     out["filter_reason"] = reasons

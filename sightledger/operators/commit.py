@@ -190,8 +190,8 @@ def fail_members(members: DataFrame, failed: DataFrame) -> DataFrame:
     hit = (F.col("status") == "pending") & F.col("error").isNotNull()
     return (
         members.join(bad, ["run_id", "cluster_id"], "left")
-        .withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
-        .withColumn("error_message", F.when(hit, F.col("error"))).drop("error")
+        .withColumn("error_message", F.when(hit, F.col("error")))
+        .withColumn("status", F.when(hit, "failed").otherwise(F.col("status"))).drop("error")
     )
 
 
@@ -201,8 +201,8 @@ def fail_fingerprints(proposals: DataFrame, errors: DataFrame) -> DataFrame:
     hit = (F.col("status") == "pending") & F.col("_error").isNotNull()
     return (
         proposals.join(bad, "source_id", "left")
-        .withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
-        .withColumn("error_message", F.when(hit, F.col("_error"))).drop("_error")
+        .withColumn("error_message", F.when(hit, F.col("_error")))
+        .withColumn("status", F.when(hit, "failed").otherwise(F.col("status"))).drop("_error")
     )
 
 

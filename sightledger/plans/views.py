@@ -30,11 +30,12 @@ class Views:
         """Line items as scored rectangles on a square canvas, 16 orders per image."""
         i = lambda c: F.col(c).cast("int")
         lines = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity")
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_shipdate")
         return spread(lines).select(
             F.concat(F.lit("img_"), F.floor(F.col("l_orderkey") / 16).cast("string")).alias("source_id"),
             F.concat_ws("-", *[F.col(c).cast("string") for c in (
-                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("raw_candidate_id"),
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                i("l_quantity").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")).alias("raw_candidate_id"),
             (F.lit(0.8) + F.col("l_discount") * 2).alias("score"),
             (F.col("l_partkey") % 90).cast("int").alias("x0"),
             (F.col("l_suppkey") % 80).cast("int").alias("y0"),
@@ -137,7 +138,7 @@ class Views:
         return self.table("part").select(
             F.concat(F.lit("obj_"), F.col("p_partkey").cast("string")).alias("id"), summary.alias("summary"),
             F.when(F.col("p_size") % 5 == 0, "archived").otherwise("active").alias("status"),
-            F.timestamp_micros((F.lit(1704067200) + F.col("p_size") * 86400) * 1000000).alias("created_at"),
+            F.timestamp_micros((F.lit(1704067200) + F.col("p_size").cast("long") * 86400) * 1000000).alias("created_at"),
         )
 
     def _accepted(self):

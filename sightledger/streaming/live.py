@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sightledger.operators.events import latest_event_state, terminal_state
+from sightledger.operators.events import terminal_state
 from sightledger.operators.registration import register_sources
 from sightledger.sources.events import stream_events
 
-__all__ = ["stream_events", "live_state", "start_live_state", "start_ingestion", "start_terminal_state"]
+__all__ = [
+    "stream_events", "live_state", "run_live_state", "start_live_state", "start_ingestion",
+    "start_terminal_state",
+]
 
 
 def live_state(events: DataFrame, key: str = "run_id") -> DataFrame:
-    """Latest event and highest percent per run; one state row per run."""
-    state = latest_event_state(events, key)
-    return state
-
-
-def start_live_state(events: DataFrame, name: str, checkpoint: str, key: str = "run_id") -> StreamingQuery:
-    """Update-mode state table: only runs with new events are emitted per trigger."""
-    agg = events.groupBy(key).agg(
+    """Latest event and highest percent per run; the state is one row per run."""
+    return events.groupBy(key).agg(
         F.max("sequence").alias("last_sequence"),
         F.max_by("event", "sequence").alias("last_event"),
         F.max_by("stage", F.when(F.coalesce("stage", F.lit("")) != "", F.col("sequence"))).alias("stage"),
@@ -29,10 +28,31 @@ def start_live_state(events: DataFrame, name: str, checkpoint: str, key: str = "
         F.max("elapsed_seconds").alias("elapsed_seconds"),
         F.max_by("timestamp_utc", "sequence").alias("last_event_at"),
     )
-    return (
-        agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .format("memory").queryName(name).start()
-    )
+
+
+def _write_batches(df: DataFrame, path: str, checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:
+    """One directory per micro-batch: a replayed batch overwrites itself."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def start_live_state(events: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Update mode: only runs with new events are written per trigger."""
+    return _write_batches(live_state(events), path, checkpoint, "update", available_now)
+
+
+def run_live_state(events: DataFrame, folder: str) -> DataFrame:
+    """Drain what is available and return the current state per run."""
+    base = f"{folder.rstrip('/')}/live_{uuid.uuid4().hex}"
+    start_live_state(events, f"{base}/state", f"{base}/checkpoint", available_now=True).awaitTermination()
+    rows = events.sparkSession.read.parquet(f"{base}/state")
+    fields = [c for c in rows.columns if c not in ("run_id", "batch_id")]
+    return rows.groupBy("run_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select("run_id", "s.*")
 
 
 def start_terminal_state(states: DataFrame, reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -44,19 +64,23 @@ def start_terminal_state(states: DataFrame, reports: DataFrame, path: str, check
         "checkpointLocation", checkpoint).foreachBatch(close).start()
 
 
-def start_ingestion(incoming: DataFrame, known_path: str, checkpoint: str, run_id: str) -> StreamingQuery:
+def start_ingestion(
+    incoming: DataFrame, known_path: str, checkpoint: str, run_id: str, available_now: bool = False
+) -> StreamingQuery:
     """Register arriving assets against the stored hashes; seen content is skipped.
 
-    Each micro-batch writes its own directory, so a replayed batch overwrites itself and
-    no hash is registered twice.
+    known_path holds one directory per batch (batch_id = -1 for what existed before), so
+    a replayed batch sees exactly what it saw the first time and overwrites itself.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(known_path).filter(F.col("batch_id") < batch_id)
+        known = batch.sparkSession.read.parquet(known_path).filter(F.col("batch_id") < batch_id)
         rows = batch.withColumn("run_id", F.lit(run_id))
         done = register_sources(rows, known.select("sha256", "run_id", "status"))
         done.filter(F.col("outcome").isin("new", "resumed")).select(
             "sha256", "run_id", F.lit("completed").alias("status")
         ).write.mode("overwrite").parquet(f"{known_path}/batch_id={batch_id}")
 
-    return incoming.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest).start()
+    writer = incoming.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
