@@ -133,7 +133,7 @@ def candidate_filter(v):
 
 @query("mask_overlaps", f"""
 WITH {BOXES},
-s AS (SELECT * FROM judged WHERE early IS NULL),
+s AS (SELECT * FROM prep WHERE score >= 0.88::DOUBLE),
 pairs AS (
   SELECT a.source_id, a.id AS first_id, b.id AS second_id, a.area AS first_area, b.area AS second_area,
          greatest(0, least(a.cx1, b.cx1) - greatest(a.x0, b.x0))
@@ -146,7 +146,7 @@ SELECT source_id, first_id, second_id, first_area, second_area, intersection,
        round(intersection / first_area::DOUBLE, 9) AS first_in_second
 FROM pairs WHERE intersection > 0""")
 def mask_overlaps(v):
-    ready = ops.prepare(v.candidates(), P).filter(F.col("early_reason").isNull())
+    ready = ops.prepare(v.candidates().filter(F.col("score") >= P.confidence_threshold), P)
     out = ops.mask_overlaps(ready)
     return out.select(*out.columns[:6], *[F.round(c, 9).alias(c) for c in out.columns[6:]])
 

@@ -56,6 +56,7 @@ def prepare(candidates: DataFrame, p: Params) -> DataFrame:
             F.col("score"), shape_ok, masks.mask_area("runs"), image_area, F.col("_box"), p,
         ))
         .withColumn("bbox", masks.stored_bbox(F.col("_box"), "image_w", "image_h"))
+        .withColumn("shape_ok", shape_ok).withColumn("has_box", F.col("_box").isNotNull())
         .drop("_box")
     )
 
@@ -67,7 +68,7 @@ def mask_overlaps(candidates: DataFrame, tile: int = 64, min_shared: int = 1) ->
     disjoint masks never meet. The shared pixels of the pieces add up to the exact
     intersection in one aggregate, all of it in generated code.
     """
-    runs = candidates.filter(F.col("mask_area_pixels") > 0).select(
+    runs = candidates.select(
         "source_id", "id", "score", "raw_candidate_id", "image_w",
         F.col("mask_area_pixels").alias("area"), F.explode("runs").alias("r"),
     )
@@ -216,9 +217,11 @@ def _solve_image(ids, areas, starts, ends, base, p: Params):
 
 def _solve_images(pdf: pd.DataFrame, p: Params, carry: list[str]) -> pd.DataFrame:
     """Greedy pass over every image of a bounded batch of rows."""
+    if not len(pdf):
+        return pdf[carry].assign(kept_rank=pd.array([], dtype="Int32"), filter_reason=[])
     pdf = pdf.assign(_neg=-pdf["score"]).sort_values(["source_id", "_neg", "raw_candidate_id"])
     sources = pdf["source_id"].to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], sources[1:] != sources[:-1]))) if len(pdf) else []
+    first = np.flatnonzero(np.concatenate(([True], sources[1:] != sources[:-1])))
     ids, areas = pdf["id"].to_numpy(), pdf["area"].to_numpy()
     starts, ends = list(pdf["starts"]), list(pdf["ends"])
     base = pdf["base"].to_numpy()
@@ -238,12 +241,14 @@ def _schema_of(df: DataFrame, carry: list[str]) -> str:
     return ", ".join(f"`{c}` {fields[c]}" for c in carry) + ", " + _OUTCOME
 
 
-def _batched(df: DataFrame, rows: int, p: Params, carry: list[str]) -> DataFrame:
+def _batched(
+    df: DataFrame, rows: int, p: Params, carry: list[str], solve=_solve_images, like: DataFrame | None = None
+) -> DataFrame:
     """Pack whole images into hash batches of bounded size and solve each batch."""
-    batches = max(parallelism(df.sparkSession), math.ceil(rows / (4 * p.greedy_rows)))
+    batches = max(parallelism(df.sparkSession), math.ceil(rows / p.greedy_rows))
     keyed = df.withColumn("_batch", F.pmod(F.xxhash64("source_id"), F.lit(batches)))
     return keyed.repartition(batches, "_batch").groupBy("_batch").applyInPandas(
-        lambda pdf: _solve_images(pdf, p, carry), _schema_of(df, carry)
+        lambda pdf: solve(pdf, p, carry), _schema_of(df if like is None else like, carry)
     )
 
 
@@ -266,10 +271,7 @@ def suppress_overlaps(
     carry = carry or ["source_id", "id"]
     df = candidates.select(
         *dict.fromkeys([*carry, "source_id", "id", "raw_candidate_id", "score"]),
-        F.col("mask_area_pixels").alias("area"),
-        F.transform("runs", lambda r: r["start"]).alias("starts"),
-        F.transform("runs", lambda r: r["start"] + r["len"]).alias("ends"),
-        F.lit(0).alias("base"),
+        F.col("mask_area_pixels").alias("area"), *_run_arrays(),
     )
     for frame in ([rows_of] if rows_of is not None else []) + [candidates]:
         counts = frame.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
@@ -403,24 +405,63 @@ def candidate_cap(candidates: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _judge_and_solve(pdf: pd.DataFrame, p: Params, carry: list[str]) -> pd.DataFrame:
+    """Area and box rules of the ladder, then the greedy pass over the survivors."""
+    area = np.array([(e - s).sum() for s, e in zip(pdf["starts"], pdf["ends"])], dtype="int64")
+    ratio = area / pdf["image_area"].to_numpy()
+    rules = [
+        (area == 0, "empty_mask"), (ratio < p.min_mask_area_ratio, "mask_too_small"),
+        (ratio > p.max_mask_area_ratio, "mask_too_large"), (~pdf["has_box"].to_numpy(bool), "invalid_bbox"),
+    ]
+    reason = np.select([r for r, _ in rules], [n for _, n in rules], default="").astype(object)
+    pdf = pdf.assign(area=area, mask_area_pixels=area, mask_area_ratio=ratio)
+    removed = pdf[reason != ""]
+    out = removed[carry].copy()
+    out["kept_rank"] = pd.array([None] * len(removed), dtype="Int32")
+    out["filter_reason"] = reason[reason != ""]
+    return pd.concat([out, _solve_images(pdf[reason == ""], p, carry)])
+
+
 _CORNERS = ("x_min", "y_min", "x_max", "y_max")
 
 
+def _run_arrays():
+    """Runs as two flat arrays, the form the Arrow tasks read without copying."""
+    return (
+        F.transform("runs", lambda r: r["start"]).alias("starts"),
+        F.transform("runs", lambda r: r["start"] + r["len"]).alias("ends"),
+        F.lit(0).alias("base"),
+    )
+
+
 def process_candidates(candidates: DataFrame, p: Params) -> DataFrame:
     """Filter ladder, suppression and cap: one row per candidate with its outcome.
 
-    Rows failing the ladder never leave the JVM; survivors travel once, to their hash
-    batch, and bring their flat columns along, so nothing is joined back.
+    Low scores and wrong shapes never leave the JVM (the score test reaches the scan).
+    The others travel once, to the hash batch of their image, where the area rules, the
+    suppression and the ranks are settled together, so nothing is joined back. If an
+    image exceeds the bound of one task, the ladder runs in the JVM and the image goes
+    through the block-wise path of `suppress_overlaps`.
     """
     flat = ["source_id", "id", "raw_candidate_id", "prompt", "score", "mask_area_pixels",
             "mask_area_ratio", *_CORNERS]
     ready = prepare(candidates, p)
-    for c in _CORNERS:
-        ready = ready.withColumn(c, F.col(f"bbox.{c}"))
-    early = ready.filter(F.col("early_reason").isNotNull()).select(
+    ready = ready.select("*", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS], *_run_arrays())
+    counts = candidates.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    bounded = int(stats["largest"] or 0) <= p.greedy_rows
+    plain = (F.col("score") >= p.confidence_threshold) & F.col("shape_ok") if bounded else F.col(
+        "early_reason").isNull()
+    early = ready.filter(~plain).select(
         *flat, F.lit(None).cast("int").alias("kept_rank"), F.col("early_reason").alias("filter_reason"))
-    survivors = ready.filter(F.col("early_reason").isNull()).select(*flat, "runs")
-    solved = suppress_overlaps(survivors, p, flat, rows_of=candidates)
+    rest = ready.filter(plain)
+    if bounded:
+        wide = rest.select(
+            *[c for c in flat if not c.startswith("mask_")], "has_box", "starts", "ends", "base",
+            (F.col("image_w").cast("long") * F.col("image_h")).alias("image_area"))
+        solved = _batched(wide, int(stats["rows"] or 0), p, flat, _judge_and_solve, ready.select(*flat))
+    else:
+        solved = suppress_overlaps(rest.select(*flat, "runs"), p, flat)
     over = F.col("kept_rank") > p.max_candidates_per_image
     solved = solved.withColumn(
         "filter_reason", F.when(over, "candidate_limit").otherwise(F.col("filter_reason"))

@@ -99,7 +99,7 @@ def review_loop(
         resolved = materialize(CM.resolve_clusters(reviews, cluster_ev, run_id).join(
             batch.select("cluster_id", "position", "batch_id"), "cluster_id"))
         decided = materialize(CM.cluster_member_decisions(mine, resolved))
-        seen = materialize(CM.observations_of(decided))
+        seen = CM.observations_of(decided)
         decisions.append(decided)
         observations.append(seen)
         filtered.append(CM.filter_cluster(mine, resolved))
