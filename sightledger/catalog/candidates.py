@@ -133,7 +133,8 @@ def candidate_filter(v):
 
 @query("mask_overlaps", f"""
 WITH {BOXES},
-s AS (SELECT * FROM prep WHERE score >= 0.88::DOUBLE),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, x0, y0, cx1, cy1 ORDER BY score DESC, raw_candidate_id) AS cp
+      FROM prep WHERE score >= 0.88::DOUBLE) WHERE cp = 1),
 pairs AS (
   SELECT a.source_id, a.id AS first_id, b.id AS second_id, a.area AS first_area, b.area AS second_area,
          greatest(0, least(a.cx1, b.cx1) - greatest(a.x0, b.x0))
@@ -147,7 +148,7 @@ SELECT source_id, first_id, second_id, first_area, second_area, intersection,
 FROM pairs WHERE intersection > 0""")
 def mask_overlaps(v):
     ready = ops.prepare(v.candidates().filter(F.col("score") >= P.confidence_threshold), P)
-    out = ops.mask_overlaps(ready)
+    out = ops.mask_overlaps(ops.mask_classes(ready))
     return out.select(*out.columns[:6], *[F.round(c, 9).alias(c) for c in out.columns[6:]])
 
 

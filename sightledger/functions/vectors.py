@@ -100,6 +100,15 @@ def unit_rows(column) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), FLOAT32_EPS)
 
 
+# Rows of a product computed at a time, so a tile's memory is rows x strip, not rows^2.
+STRIP = 1024
+
+
+def strips(n: int):
+    """(low, high) bounds cutting n rows into strips."""
+    return ((lo, min(n, lo + STRIP)) for lo in range(0, n, STRIP))
+
+
 def unit_matrix(rows) -> np.ndarray:
     """One local matrix (patches x width), rows normalised; empty when no patch."""
     m = np.array([np.asarray(r, dtype=np.float64) for r in rows], dtype=np.float64)

@@ -61,10 +61,20 @@ def prepare(candidates: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def mask_classes(candidates: DataFrame) -> DataFrame:
+    """Distinct masks per image; the best candidate (score desc, raw id) stands for copies."""
+    first = F.struct((-F.col("score")).alias("s"), F.col("raw_candidate_id").alias("r"))
+    keep = F.struct("id", "score", "raw_candidate_id", "image_w", "mask_area_pixels")
+    return candidates.groupBy("source_id", "runs").agg(
+        F.min_by(keep, first).alias("b"), F.count(F.lit(1)).alias("copies")
+    ).select("source_id", "runs", "b.*", "copies")
+
+
 def mask_overlaps(candidates: DataFrame, tile: int = 64, min_shared: int = 1) -> DataFrame:
     """Overlapping pairs inside one image: intersection, IoU, directional containment.
 
-    Every row run is cut at tile borders and pairs meet on (image, row, tile), so
+    Input may be `mask_classes`, so that a pile of equal masks never makes pairs among
+    itself and a pair stands for all copies on both sides. Every row run is cut at tile borders and pairs meet on (image, row, tile), so
     disjoint masks never meet. The shared pixels of the pieces add up to the exact
     intersection in one aggregate, all of it in generated code.
     """

@@ -32,10 +32,10 @@ class Params:
 
     # Physical bounds: rows one task or one Arrow group may hold. They never
     # change a result, only how the same work is cut into tasks.
-    tile_rows: int = 4096
+    tile_rows: int = 8192
+    profile_rows: int = 2048
     greedy_rows: int = 4096
     component_rows: int = 200_000
-    broadcast_rows: int = 100_000
 
     def __post_init__(self) -> None:
         unit = (
@@ -63,7 +63,7 @@ class Params:
         self._between("local_top_k", 1, 64)
         self._between("max_representatives", 1, 8)
         self._between("crop_padding", 0, None)
-        for name in ("tile_rows", "greedy_rows", "component_rows", "broadcast_rows"):
+        for name in ("tile_rows", "profile_rows", "greedy_rows", "component_rows"):
             self._between(name, 1, None)
         if self.min_mask_area_ratio >= self.max_mask_area_ratio:
             raise ValueError("min_mask_area_ratio must be below max_mask_area_ratio")
