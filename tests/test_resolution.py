@@ -154,7 +154,7 @@ def test_review_acceptance(spark):
         cards = spark.createDataFrame([(o,) for o in objects], "object_id string")
         exp = spark.createDataFrame([(1, c) for c in expected], "batch_id int, cluster_id string")
         row = R.review_coverage(reviews, exp, cards, exp.select("batch_id").distinct()).first()
-        return parsed.first().parse_error, row.violations
+        return parsed.first().parse_error, row and row.violations
 
     item = '{"cluster_id": "clu_a", "verdict": "%s", "identity_hypothesis": "%s", "matched_object_id": %s, "short_reason": "r", "object_summary": %s}'
     summary = ('{"object_name_zh": "x", "coarse_category": "x", "fine_category": "x", "stable_description": "x", '
