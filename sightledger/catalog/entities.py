@@ -212,6 +212,29 @@ def fail_fingerprints(v):
     return CM.fail_fingerprints(p.drop("l_quantity"), errors)
 
 
+@query("fail_members", """
+WITH m AS (SELECT 'run_' || (l_suppkey % 5) AS run_id, 'clu_' || l_partkey AS cluster_id,
+    l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id,
+    CASE WHEN l_returnflag = 'N' THEN 'pending' WHEN l_returnflag = 'R' THEN 'filtered' ELSE 'decided' END AS status FROM lineitem),
+f AS (SELECT 'clu_' || p_partkey AS cluster_id, 'run_' || (p_partkey % 5) AS run_id, CASE WHEN p_size < 20 THEN 'broken ' || p_size END AS error FROM part)
+SELECT m.run_id, m.cluster_id, id, CASE WHEN status = 'pending' AND error IS NOT NULL THEN 'failed' ELSE status END AS status,
+  CASE WHEN status = 'pending' THEN error END AS error_message
+FROM m LEFT JOIN f ON f.run_id = m.run_id AND f.cluster_id = m.cluster_id""")
+def fail_members(v):
+    text = lambda c: F.col(c).cast("string")
+    r = F.col("l_returnflag")
+    m = v.table("lineitem").select(
+        F.concat(F.lit("run_"), (F.col("l_suppkey") % 5).cast("string")).alias("run_id"),
+        F.concat(F.lit("clu_"), text("l_partkey")).alias("cluster_id"),
+        F.concat_ws("_", *map(text, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("id"),
+        F.when(r == "N", "pending").when(r == "R", "filtered").otherwise("decided").alias("status"))
+    failed = v.table("part").select(
+        F.concat(F.lit("run_"), (F.col("p_partkey") % 5).cast("string")).alias("run_id"),
+        F.concat(F.lit("clu_"), text("p_partkey")).alias("cluster_id"),
+        F.when(F.col("p_size") < 20, F.concat(F.lit("broken "), text("p_size"))).alias("error"))
+    return CM.fail_members(m, failed)
+
+
 @query("review_coverage", """
 WITH c AS (SELECT c_custkey AS k, c_custkey // 8 AS batch_id, 'clu_' || c_custkey AS cluster_id FROM customer),
 r AS (SELECT batch_id, cluster_id, k, CASE WHEN k % 5 = 0 THEN 'ignore' ELSE 'object' END AS verdict,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightledger.catalog.registry import query
 from sightledger.operators import commit as CM, lineage as L, summaries as SM
+from sightledger.schema import CHECKS
 from sightledger.session import union_all
 
 LEDGER = """
@@ -246,7 +247,7 @@ def _checks(v):
 
 @query("structural_checks", f"""
 WITH {CHECK_INPUTS}
-SELECT run_id, unnest({list(SM.CHECKS)}) AS "check", unnest([c1, c2, c3, c4, c5, c6, c7, c8]) AS ok FROM wide""")
+SELECT run_id, unnest({list(CHECKS)}) AS "check", unnest([c1, c2, c3, c4, c5, c6, c7, c8]) AS ok FROM wide""")
 def structural_checks(v):
     return _checks(v)
 

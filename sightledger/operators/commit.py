@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sightledger.functions.identity import hashed_id, resolve_identity
 from sightledger.functions.validators import codes
-from sightledger.schema import CLUSTER_MEMBER_REASON, IGNORE_REASON_PREFIX
+from sightledger.schema import CLUSTER_MEMBER_REASON, IGNORE_REASON_PREFIX, SOURCE_FAILURES
 from sightledger.session import union_all
 
 
@@ -219,8 +219,8 @@ def finalize_sources(sources: DataFrame, proposals: DataFrame) -> DataFrame:
         .withColumn("final_status", F.when(~closes, F.col("status"))
                     .when(pending | failed, "failed").otherwise("completed"))
         .withColumn("final_error",
-                    F.when(closes & pending, "Source contains proposals without a terminal cluster result")
-                    .when(closes & failed, "Source contains failed cluster proposals"))
+                    F.when(closes & pending, SOURCE_FAILURES["pending"])
+                    .when(closes & failed, SOURCE_FAILURES["failed"]))
         .drop("_pending", "_failed")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sightledger.functions.timing import stage_percent
 from sightledger.operators.clustering import connected_components
+from sightledger.schema import TERMINAL_MESSAGES
 from sightledger.session import distributed_row_number
 
 # Sequences are dense per run, so a block holds at most this many events of one run.
@@ -78,10 +79,8 @@ def terminal_state(states: DataFrame, reports: DataFrame, key: str = "run_id") -
     result = F.when(closed, F.col("stage_status")).when(formal, F.col("_report"))
     done = F.coalesce(closed & (result == "passed"), F.lit(False))
     message = (
-        F.when(done, "Experiment completed.")
-        .when(~formal, "Experiment process disappeared after service recovery; inspect "
-              "process_error.log_tail.")
-        .otherwise("Experiment finished with a failed result; inspect the report and audit trail.")
+        F.when(done, TERMINAL_MESSAGES["completed"]).when(~formal, TERMINAL_MESSAGES["unexpected"])
+        .otherwise(TERMINAL_MESSAGES["failed"])
     )
     return states.join(r, key, "left").select(
         key, F.when(done, "completed").otherwise("failed").alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightledger.schema import (
-    CANDIDATE_SOURCE, DECISION, LEGACY_SCHEMA_VERSION, LIBRARY_DIRECTORIES, PROPOSAL_STATUS,
+    CANDIDATE_SOURCE, CHECKS, DECISION, LEGACY_SCHEMA_VERSION, LIBRARY_DIRECTORIES, PROPOSAL_STATUS,
     SCHEMA_VERSION, SOURCE_STATUS,
 )
 from sightledger.session import union_all
@@ -180,13 +180,6 @@ def cluster_decision_counts(clusters: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-CHECKS = (
-    "input_images_nonempty", "every_input_accounted_for", "automatic_candidate_source_recorded",
-    "every_kept_proposal_has_fingerprint_or_failure", "every_candidate_has_terminal_status",
-    "every_cluster_has_qwen_result_or_failure", "no_source_left_processing", "no_pending_proposals",
-)
-
-
 def structural_checks(
     runs: DataFrame, images: DataFrame, proposals: DataFrame, clusters: DataFrame
 ) -> DataFrame:

@@ -28,7 +28,6 @@ class Params:
     local_top_k: int = 3
     cluster_similarity: float = 0.75
     max_representatives: int = 4
-    prompt_version: str = "object-memory-cluster-review-v1"
 
     # Physical bounds: rows one task or one Arrow group may hold. They never
     # change a result, only how the same work is cut into tasks.

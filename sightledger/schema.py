@@ -55,6 +55,20 @@ IDENTITY_REASONS = {
     "existing": "Qwen对象判断与DINOv3历史视角匹配一致。",
     "existing_unsupported": "Qwen已有对象判断未得到同一DINOv3对象匹配支持。",
 }
+TERMINAL_MESSAGES = {
+    "completed": "Experiment completed.",
+    "unexpected": "Experiment process disappeared after service recovery; inspect process_error.log_tail.",
+    "failed": "Experiment finished with a failed result; inspect the report and audit trail.",
+}
+SOURCE_FAILURES = {
+    "pending": "Source contains proposals without a terminal cluster result",
+    "failed": "Source contains failed cluster proposals",
+}
+CHECKS = (
+    "input_images_nonempty", "every_input_accounted_for", "automatic_candidate_source_recorded",
+    "every_kept_proposal_has_fingerprint_or_failure", "every_candidate_has_terminal_status",
+    "every_cluster_has_qwen_result_or_failure", "no_source_left_processing", "no_pending_proposals",
+)
 LIBRARY_DIRECTORIES = ("sources", "proposals", "objects", "raw_responses", "run_reports")
 # ---------------------------------------------------------------------------
 

@@ -15,7 +15,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers once per application."""
+    """Send this package (code only) to the Python workers once per application."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         here = os.path.dirname(os.path.abspath(__file__))
