@@ -88,7 +88,7 @@ def review_coverage(
         .otherwise(F.array().cast("array<string>")),
     )
     checked = (
-        reviews.join(cards, "matched_object_id", "left").crossJoin(F.broadcast(memory_empty))
+        reviews.join(cards, "matched_object_id", "left").crossJoin(F.broadcast(memory_empty))  # one row
         .withColumn("_faulty", F.size(faults) > 0)
         .withColumn("_unknown", F.col("matched_object_id").isNotNull() & F.col("_known").isNull())
         .withColumn("_not_new", F.col("_empty") & (F.col("verdict") == "object")
