@@ -1,5 +1,7 @@
 """Every registered query with a SQL twin equals it on the smallest tables."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -19,7 +21,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin_or_is_iterative():
-    assert set(queries()) - set(oracle_sql()) == {"resolve_entities"}
+    own = {n for n in queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(oracle_sql()) == {"resolve_entities"}
 
 
 def test_flagship(spark):
