@@ -68,12 +68,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             at = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word of every row (one more than rows)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     before = np.ones(n, bool)
     before[1:] = ~solid[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = True

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightledger.llm import base as B, substring
+from sightledger.llm import (
+    ann, base as B, bpe, minhash, order_minhash, packing, sharding, substring, toxicity, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,78 @@ def query(name: str, sql: str | None = None):
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+
+@query("op1_wavelet_tokens")
+def op1_wavelet_tokens(spark, sf_dir):
+    return wavelet.round_trip(B.documents(spark, sf_dir))
+
+
+@query("op3_kmeans_tree")
+def op3_kmeans_tree(spark, sf_dir):
+    B.documents(spark, sf_dir)
+    vectors = ann.clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op4_minhash_dedup", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""")
+def op4_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(B.documents(spark, sf_dir))
+
+
+@query("op5_transducer_bpe")
+def op5_transducer_bpe(spark, sf_dir):
+    return bpe.digests(B.documents(spark, sf_dir))
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark, sf_dir):
+    return order_minhash.with_edited(B.documents(spark, sf_dir))
+
+
+@query("op7_online_packing")
+def op7_online_packing(spark, sf_dir):
+    return packing.pack(B.documents(spark, sf_dir))
+
+
+@query("op8_toxic_segments")
+def op8_toxic_segments(spark, sf_dir):
+    docs = B.documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+                      (F.col("toxicity") >= toxicity.REJECT).cast("int").alias("predicted"),
+                      F.size("toxic_passages").alias("n_passages"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op9_extendible_sharding", f"""
+WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS bytes,
+                  ('0x' || left(md5(doc_id::VARCHAR), {sharding.BITS // 4}))::BIGINT AS h FROM documents),
+p AS (SELECT doc_id, bytes, h, d, h >> ({sharding.BITS} - d) AS prefix
+      FROM (SELECT *, unnest(range(0, {sharding.BITS + 1})) AS d FROM h)),
+fits AS (SELECT d, prefix FROM p GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES} OR count(*) = 1),
+leaf AS (SELECT doc_id, min(d) AS depth FROM p JOIN fits USING (d, prefix) GROUP BY doc_id)
+SELECT doc_id, bytes::BIGINT AS n_bytes, depth::INT AS local_depth,
+       'b' || left(lpad(bin(h), {sharding.BITS}, '0'), depth) AS shard, 0::BIGINT AS page
+FROM h JOIN leaf USING (doc_id)""")
+def op9_extendible_sharding(spark, sf_dir):
+    docs = B.documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.assign(docs, SHARD_BYTES).drop("text")
+
+
 @query("op10_substring_dedup", rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
 p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS k

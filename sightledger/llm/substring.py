@@ -4,7 +4,7 @@ Pass 1. Every scan task hashes its windows into the cells of a count-min sketch
 partition sketch travels as sorted cells per slice, gap-coded, each cell at most twice; slices merge
 in two levels and become one bit per cell: "at least two starts". Counts only ever overestimate.
 
-Pass 2. Windows whose cells are set in every row are grouped exactly by a 128-bit hash. A block (some
+Pass 2. Windows whose cells are set in every row are grouped exactly by a 96-bit hash. A block (some
 thousand neighbouring rows) sends each distinct window once, with its own count, so a passage shared
 by all documents costs one entry per block. Repeated windows go back to their blocks, which meet
 their texts again and drop the covered words. Nothing is capped: if the sketch is too small for the
@@ -28,6 +28,7 @@ DEPTH = 2
 SLICE_BITS = 22          # cells of a slice
 MAX_CELL_BITS = 29       # cells of a row: the broadcast is at most DEPTH * 2^29 bits = 128 MiB
 FLUSH_WINDOWS = 4 << 20  # windows a task holds before it sends cells
+MERGED_TASKS = 256       # partition sketches that one merge takes; beyond, merges are in two levels
 ENTRY_BITS = 20          # windows of a slice in pass 2, about
 ROWS_PER_BLOCK = 4096
 
@@ -79,7 +80,7 @@ _SKETCH = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("cells", pa.b
 _SKETCH_SQL = "slice int, part int, cells binary"
 
 
-def _sketch(window, bits):
+def _sketch(window, bits, groups):
     slice_bits = min(bits, SLICE_BITS)
     per_row = 1 << (bits - slice_bits)
 
@@ -97,7 +98,7 @@ def _sketch(window, bits):
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % 32
+        part = TaskContext.get().partitionId() % groups
         held, size = [], 0
         for _, data, offsets in B.blocks(batches):
             h1, h2, *_ = _windows(data, offsets, window)
@@ -135,8 +136,11 @@ def _merge(final, slice_bits):
 def repeated_cells(texts: DataFrame, window: int, bits: int) -> bytes:
     """One bit per cell of every sketch row: set where two windows or more may start."""
     slice_bits = min(bits, SLICE_BITS)
-    sketch = texts.select("text").mapInArrow(_sketch(window, bits), _SKETCH_SQL)
-    merged = sketch.groupBy("slice", "part").applyInArrow(_merge(False, slice_bits), _SKETCH_SQL)
+    source = texts.select("text")
+    groups = -(-source.rdd.getNumPartitions() // MERGED_TASKS)
+    merged = source.mapInArrow(_sketch(window, bits, groups), _SKETCH_SQL)
+    if groups > 1:
+        merged = merged.groupBy("slice", "part").applyInArrow(_merge(False, slice_bits), _SKETCH_SQL)
     merged = merged.groupBy("slice").applyInArrow(_merge(True, slice_bits), _SKETCH_SQL)
     size = (1 << slice_bits) // 8
     out = bytearray(DEPTH * (1 << bits) // 8)
@@ -165,6 +169,7 @@ def _entries(window, bits, slice_bits, sent):
 
         def close(block, held):
             h1, h2 = (np.concatenate(x) for x in zip(*held))
+            h2 = (h2 >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((h2, h1))
             h1, h2 = h1[order], h2[order]
             new = np.ones(len(h1), bool)
@@ -213,10 +218,10 @@ def _exact(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, blocks = [[], [], []], []
     for batch in tables:
         for block, blob in zip(batch.column("block").to_pylist(), batch.column("entries").to_pylist()):
-            n = len(blob) // 17
+            n = len(blob) // 13
             parts[0].append(np.frombuffer(blob, np.uint64, n))
-            parts[1].append(np.frombuffer(blob, np.uint64, n, offset=8 * n))
-            parts[2].append(np.frombuffer(blob, np.uint8, n, offset=16 * n))
+            parts[1].append(np.frombuffer(blob, np.uint32, n, offset=8 * n))
+            parts[2].append(np.frombuffer(blob, np.uint8, n, offset=12 * n))
             blocks.append(np.full(n, block))
     h1, h2, count = (np.concatenate(p) for p in parts)
     blocks = np.concatenate(blocks)
