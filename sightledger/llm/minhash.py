@@ -250,3 +250,32 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, k: int = SHINGLE
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id, all columns.
+
+    Rows that share a doc_id are one document and one of them stays; rows without doc_id stay.
+    """
+    near = near_duplicates(docs, percent, k).filter("doc_id is not null")
+    twice = near.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    # Only rows that a bitmap of fixed size marks are joined; most texts never move.
+    changed = B.table(twice.filter("n > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(changed))
+    names, schema = docs.columns, docs.schema
+
+    def marked(wanted):
+        def run(batches):
+            bitmap = np.frombuffer(sent.value, np.uint8)
+            for batch in batches:
+                pos = batch.column("__pos").fill_null(-1).to_numpy()
+                hit = ((bitmap[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 == 1) & (pos >= 0)
+                yield batch.filter(pa.array(hit == wanted)).select(names)
+
+        return placed.mapInArrow(run, schema)
+
+    where = F.when(F.col("doc_id").isNotNull(), _place("doc_id"))
+    placed = docs.select(*[F.col(f"`{c}`") for c in names], where.alias("__pos"))
+    maybe = marked(True).join(changed.select(F.col("id").alias("doc_id"), F.col("kept").alias("__kept")), "doc_id", "left")
+    maybe = maybe.filter("__kept is null or __kept").select(*[F.col(f"`{c}`") for c in names]).dropDuplicates(["doc_id"])
+    return marked(False).unionByName(maybe)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightledger.llm import (
-    ann, base as B, bpe, minhash, order_minhash, packing, sharding, substring, toxicity, wavelet)
+    ann, base as B, bpe, minhash, order_minhash, packing, secrets, sharding, substring, toxicity, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,15 @@ def op1_wavelet_tokens(spark, sf_dir):
     return wavelet.round_trip(B.documents(spark, sf_dir))
 
 
+@query("op2_secret_forest")
+def op2_secret_forest(spark, sf_dir):
+    docs = B.documents(spark, sf_dir)
+    language = secrets.learn_language(docs)
+    # A third of the documents never trains: it is there to measure on.
+    forest = secrets.train(secrets.findings(docs.filter(~toxicity.held_out()), language))
+    return secrets.scan(docs, language, forest).withColumn("held_out", toxicity.held_out())
+
+
 @query("op3_kmeans_tree")
 def op3_kmeans_tree(spark, sf_dir):
     B.documents(spark, sf_dir)
