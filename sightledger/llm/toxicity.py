@@ -21,7 +21,7 @@ from sightledger.llm import base as B
 MAX_LABELLED = 20_000  # labelled texts a model is fitted on, at most
 MAX_WORDS = 8_192      # words with log-odds, at most
 PRIOR = 500.0          # total weight of the Dirichlet prior
-LEAST_Z = 3.0
+LEAST_ROOT = 4.0       # signed root of the likelihood ratio a word's counts must reach
 DRIFT = 0.4
 TOP_SCORE = 6.0
 REJECT = 0.7           # texts that score this or more are predicted toxic
@@ -54,16 +54,18 @@ def _word_hashes(data, offsets):
 
 
 def _counts():
-    schema = pa.schema([("h", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("half", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches):
         for part, data, offsets in B.blocks(batches, limit=8 << 20):
             h, first, *_ = _word_hashes(data, offsets)
-            label = np.repeat(part.column("toxic").to_numpy(), np.diff(first))
-            words, at = np.unique(h, return_inverse=True)
-            bad = np.bincount(at, weights=label, minlength=len(words)).astype(np.int64)
-            total = np.bincount(at, minlength=len(words))
-            yield B.record(schema, words.view(np.int64), bad, total - bad)
+            label, half = (np.repeat(part.column(c).to_numpy(), np.diff(first)) for c in ("toxic", "half"))
+            for side in (0, 1):
+                mine = half == side
+                words, at = np.unique(h[mine], return_inverse=True)
+                bad = np.bincount(at, weights=label[mine], minlength=len(words)).astype(np.int64)
+                total = np.bincount(at, minlength=len(words))
+                yield B.record(schema, words.view(np.int64), np.full(len(words), side), bad, total - bad)
 
     return run
 
@@ -140,13 +142,12 @@ def maximal(scores: list[float], places: list[int], drift: float) -> list[tuple[
     return [(right - left, first, last) for left, right, first, last in held]
 
 
-def _statistics(model, n, found):
+def _statistics(model, n, scores):
     """Features of a text: extreme-value deviate of its best passage, weight of its significant ones, their number."""
-    if not found or not n:
+    if not scores or not n:
         return 0.0, 0.0, 0.0
-    best = max(s for s, _, _ in found)
-    deviate = (model.decay * best - math.log(n) - model.location) / model.width
-    chosen = [s for s, _, _ in found if expected(model, n, s) <= EXPECTED]
+    deviate = (model.decay * max(scores) - math.log(n) - model.location) / model.width
+    chosen = [s for s in scores if expected(model, n, s) <= EXPECTED]
     return min(max(deviate, 0.0), 20.0), math.log1p(sum(chosen)), math.log1p(len(chosen))
 
 
@@ -156,16 +157,13 @@ def expected(model: Model, n: int, score: float) -> float:
     return math.exp(-max(min(deviate * math.pi / math.sqrt(6) + 0.5772, 500.0), -500.0))
 
 
-def _features(model):
-    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()),
-                        ("x1", pa.float64()), ("x2", pa.float64()), ("x3", pa.float64())])
+def _passages(model):
+    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64()))])
 
     def run(batches):
         for part, data, offsets in B.blocks(batches):
             n, found, *_ = _scan(model, data, offsets)
-            x = [_statistics(model, int(a), f) for a, f in zip(n, found)]
-            yield B.record(schema, part.column("toxic").cast(pa.int32()), n,
-                           [max((s for s, _, _ in f), default=0.0) for f in found], *[list(c) for c in zip(*x)])
+            yield B.record(schema, part.column("toxic").cast(pa.int32()), n, [[s for s, _, _ in f] for f in found])
 
     return run
 
@@ -212,47 +210,63 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     picked = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "toxic", "half").collect()],
                                    "doc_id long, toxic int, half long")
     labelled = B.table(docs.join(F.broadcast(picked), "doc_id"))
-    counts = labelled.filter("half = 0").select("text", "toxic").mapInArrow(_counts(), "h long, toxic long, clean long")
-    counts = B.table(counts.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    sums = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    if not sums.t or not sums.c:
+    counts = labelled.select("text", "toxic", "half").mapInArrow(_counts(), "h long, half long, toxic long, clean long")
+    side = lambda c, k: F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counts = counts.groupBy("h").agg(side("toxic", 0), side("clean", 0), side("toxic", 1), side("clean", 1))
+    counts = B.table(counts.withColumn("toxic", F.expr("toxic0 + toxic1")).withColumn("clean", F.expr("clean0 + clean1")))
+    sums = counts.agg(*[F.sum(c).alias(c) for c in ("toxic0", "clean0", "toxic1", "clean1", "toxic", "clean")]).first()
+    if not sums.toxic or not sums.clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), weights=np.array([-30.0, 0, 0, 0]))
-    rough = (F.log((F.col("toxic") + 0.1) / sums.t) - F.log((F.col("clean") + 0.1) / sums.c)) / F.sqrt(
-        1 / (F.col("toxic") + 0.1) + 1 / (F.col("clean") + 0.1))
-    # At most MAX_WORDS rows reach the driver.
-    top = counts.filter("toxic + clean >= 3").orderBy(F.abs(rough).desc(), "h").limit(MAX_WORDS).collect()
+    share = sums.toxic / (sums.toxic + sums.clean)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("toxic") + F.col("clean")) * p))).otherwise(0.0)
+    # At most MAX_WORDS rows reach the driver: those whose counts differ most between the classes.
+    top = counts.filter("toxic + clean >= 3").orderBy((part("toxic", share) + part("clean", 1 - share)).desc(), "h").limit(MAX_WORDS).collect()
     words = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     words = words[order]
-    toxic, clean = (np.array([r[c] for r in top], float)[order] for c in ("toxic", "clean"))
-    prior = np.zeros(len(words))
-    every = 1
-    ground = docs.select("text").mapInArrow(_background(words), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    for row in ground.toLocalIterator():
+    got = {c: np.array([r[c] for r in top], float)[order] for c in ("toxic0", "clean0", "toxic1", "clean1", "toxic", "clean")}
+    ground, every = np.zeros(len(words)), 1
+    seen = docs.select("text").mapInArrow(_background(words), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    for row in seen.toLocalIterator():
         if row.word < 0:
             every = max(row.n, 1)
         else:
-            prior[row.word] = row.n
-    a = PRIOR * np.maximum(prior, 1) / every
-    odds = np.log((toxic + a) / (sums.t + PRIOR - toxic - a)) - np.log((clean + a) / (sums.c + PRIOR - clean - a))
-    z = odds / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
-    strong = np.abs(z) >= LEAST_Z
+            ground[row.word] = row.n
+    prior = PRIOR * np.maximum(ground, 1) / every + 0.25
+
+    def fitted(side):
+        return _odds(words, got["toxic" + side], got["clean" + side], sums["toxic" + side], sums["clean" + side], prior)
+
+    # Each half is scored by the odds of the other one, so the calibration never sees a text twice.
+    x, y, laws = [], [], []
+    for mine, other in (("0", 1), ("1", 0)):
+        model = fitted(mine)
+        rows = labelled.filter(F.col("half") == other).select("text", "toxic").mapInArrow(
+            _passages(model), "toxic int, n long, scores array<double>").collect()
+        base = [model.decay * max(r.scores, default=0.0) - math.log(r.n) for r in rows if not r.toxic and r.n]
+        if len(base) > 1:
+            model.location, model.width = float(np.mean(base)), max(float(np.std(base)), 0.5)
+        laws.append((model.location, model.width))
+        x += [_statistics(model, r.n, r.scores) for r in rows]
+        y += [r.toxic for r in rows]
+    model = fitted("")
+    model.location, model.width = (float(v) for v in np.mean(laws, 0))
+    model.weights = _logistic(np.array(x), np.array(y, float)) if len(set(y)) == 2 else np.array([-30.0, 0, 0, 0])
+    return model
+
+
+def _odds(words, toxic, clean, all_toxic, all_clean, prior) -> Model:
+    """Log-odds with the prior's pseudo-counts; words whose counts could be chance are left to the drift."""
+    weight = prior.sum()
+    odds = np.log((toxic + prior) / (all_toxic + weight - toxic - prior)) - np.log((clean + prior) / (all_clean + weight - clean - prior))
+    share = all_toxic / max(all_toxic + all_clean, 1)
+    part = lambda c, p: np.where(c > 0, c * np.log(np.maximum(c, 1) / np.maximum((toxic + clean) * p, 1e-9)), 0)
+    root = np.sqrt(np.maximum(2 * (part(toxic, share) + part(clean, 1 - share)), 0))
+    strong = root >= LEAST_ROOT
     model = Model(words[strong], np.clip(odds[strong], -TOP_SCORE, TOP_SCORE) - DRIFT)
-    share = np.append((clean[strong] + a[strong]) / (sums.c + PRIOR), 0)
-    share[-1] = max(1 - share.sum(), 1e-9)
-    model.decay = _decay(np.append(model.scores, -DRIFT), share)
-
-    half = labelled.filter("half = 1")
-    rows = half.select("text", "toxic").mapInArrow(_features(model), "toxic int, n long, best double, x1 double, x2 double, x3 double").toPandas()
-    plain = rows[(rows.toxic == 0) & (rows.n > 0)]
-    base = model.decay * plain.best - np.log(plain.n)
-    if len(base) > 1:
-        model.location, model.width = float(base.mean()), max(float(base.std()), 0.5)
-    rows = half.select("text", "toxic").mapInArrow(_features(model), "toxic int, n long, best double, x1 double, x2 double, x3 double").toPandas()
-    if rows.toxic.nunique() == 2:
-        model.weights = _logistic(rows[["x1", "x2", "x3"]].to_numpy(), rows.toxic.to_numpy(float))
-    else:
-        model.weights = np.array([-30.0, 0, 0, 0])
+    usual = np.append((clean[strong] + prior[strong]) / (all_clean + weight), 0)
+    usual[-1] = max(1 - usual.sum(), 1e-9)
+    model.decay = _decay(np.append(model.scores, -DRIFT), usual)
     return model
 
 
@@ -272,7 +286,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n, found, first, starts, ends = _scan(model, data, offsets)
             out, spans = np.empty(len(n)), []
             for i, f in enumerate(found):
-                x = _statistics(model, int(n[i]), f)
+                x = _statistics(model, int(n[i]), [s for s, _, _ in f])
                 out[i] = 1 / (1 + math.exp(-max(min(w[0] + sum(a * b for a, b in zip(w[1:], x)), 30.0), -30.0)))
                 mine = []
                 for s, p, q in f:
