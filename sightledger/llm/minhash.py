@@ -20,7 +20,7 @@ from sightledger.llm import base as B
 SHINGLE = 5
 SIMILARITY = 85   # percent
 BANDS, ROWS = 40, 8  # a pair at 0.85 shares no band with probability 3e-6
-CHUNK = 512
+CHUNK = 256
 ID_BITS = 25      # bits of the filter on document ids
 
 _VALUES = B.byte_values(303, lower=True)
