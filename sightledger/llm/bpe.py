@@ -24,8 +24,8 @@ from sightledger.session import shared_dir
 
 LEXICON_WORDS = 65_536   # words compiled, at most
 LONG_WORD = 48           # longer words are merged with a heap, one by one
-KEPT_MERGES = 400_000    # merged words a worker remembers
-BLOCK = 4 << 20
+KEPT_MERGES = 200_000    # merged words a worker remembers
+BLOCK = 2 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -263,7 +263,7 @@ def _word_counts(path):
 
     def run(batches):
         _, pattern, _ = _state(path)
-        for _, data, offsets in B.blocks(batches, limit=16 << 20):
+        for _, data, offsets in B.blocks(batches, limit=BLOCK):
             pieces, counts = _distinct(data, offsets)
             tally: dict[str, int] = {}
             for piece, n in zip(pieces, counts.tolist()):
