@@ -264,27 +264,23 @@ def _word_counts(path):
     def run(batches):
         _, pattern, _ = _state(path)
         for _, data, offsets in B.blocks(batches, limit=BLOCK):
-            pieces, counts = _distinct(data, offsets)
-            tally: dict[str, int] = {}
-            for piece, n in zip(pieces, counts.tolist()):
-                for word in pattern.findall(piece):
-                    tally[word] = tally.get(word, 0) + n
+            if not len(data):
+                continue
+            starts = T.piece_starts(data, offsets)
+            h = B.piece_hashes(data, starts, np.append(starts[1:], len(data)), T._VALUES, B.WORD_BASE)
+            _, first, counts = np.unique(h, return_index=True, return_counts=True)
             # A word seen once in a block is not frequent here; it is merged when it comes.
-            kept = [(w.encode("utf-8"), n) for w, n in tally.items() if n > 1 and len(w) <= LONG_WORD]
+            often = counts > 1
+            tally: dict[bytes, int] = {}
+            for piece, one, n in zip(*_pieces(data, starts, first[often]), counts[often].tolist()):
+                for word in (piece,) if one else [w.encode("utf-8") for w in pattern.findall(piece.decode("utf-8", "replace"))]:
+                    tally[word] = tally.get(word, 0) + n
+            kept = [(w, n) for w, n in tally.items() if len(w) <= LONG_WORD]
             yield B.record(schema, [w for w, _ in kept], [n for _, n in kept])
 
     return run
 
 
-def _distinct(data, offsets):
-    starts = T.piece_starts(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    h = B.piece_hashes(data, starts, ends, T._VALUES, B.WORD_BASE)
-    _, at, counts = np.unique(h, return_index=True, return_counts=True)
-    body = data.tobytes()
-    return [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[at], ends[at])], counts
-
-
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of all texts and send the file to the executors; returns its name."""
     spark = docs.sparkSession
@@ -308,21 +304,26 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary, pattern, lexicon: Lexicon):
         self.vocabulary, self.pattern, self.lexicon = vocabulary, pattern, lexicon
 
-    def words(self, words: list[str]) -> list[tuple]:
-        raw = [w.encode("utf-8") for w in words]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        starts = np.append(0, ends[:-1]) if len(raw) else ends
-        number = self.lexicon.number(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
-        edge, ids = self.lexicon.starts, self.lexicon.ids
-        known = np.flatnonzero(number >= 0)
-        flat, a, b = ids, edge[number[known]], edge[number[known] + 1]
-        out: list = [None] * len(raw)
-        for i, x, y in zip(known.tolist(), a.tolist(), b.tolist()):
-            out[i] = tuple(flat[x:y].tolist())
-        other = np.flatnonzero(number < 0).tolist()
-        for i, got in zip(other, self.vocabulary.merge([raw[i] for i in other])):
-            out[i] = got
-        return out
+    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct words, one after another, and where each word's start."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        number = self.lexicon.number(np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends)
+        known = number >= 0
+        other = np.flatnonzero(~known)
+        merged = self.vocabulary.merge([raw[i] for i in other.tolist()])
+        edge = self.lexicon.starts
+        counts = np.zeros(len(raw), np.int64)
+        counts[known] = edge[number[known] + 1] - edge[number[known]]
+        counts[other] = np.fromiter(map(len, merged), np.int64, len(merged))
+        starts = np.append(0, np.cumsum(counts))
+        flat = np.empty(starts[-1], np.int64)
+        at = np.arange(starts[-1])
+        of_known = np.repeat(known, counts)
+        flat[of_known] = self.lexicon.ids[at[of_known] + np.repeat(
+            edge[number[known]] - starts[:-1][known], counts[known])]
+        flat[~of_known] = np.fromiter((i for ids in merged for i in ids), np.int64, int(counts[other].sum()))
+        return flat, starts
 
     def text(self, text: str) -> list[int]:
         """A whole text with special tokens in it."""
@@ -333,7 +334,9 @@ class Coder:
             if part in self.vocabulary.special:
                 out.append(self.vocabulary.special[part])
             else:
-                out += [i for ids in self.words(self.pattern.findall(part)) for i in ids]
+                order, at = _numbered(w.encode("utf-8") for w in self.pattern.findall(part))
+                flat, starts = self.words(order)
+                out += _gather(flat, starts, np.array(at, np.int64))[0].tolist()
         return out
 
     def block(self, data, offsets):
@@ -342,26 +345,20 @@ class Coder:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         starts = T.piece_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        h = B.piece_hashes(data, starts, ends, T._VALUES, B.WORD_BASE)
-        _, at, piece = np.unique(h, return_index=True, return_inverse=True)
-        body = data.tobytes()
-        held = [self.pattern.findall(body[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at], ends[at])]
-        order: dict[str, int] = {}
-        for words in held:
-            for w in words:
-                order.setdefault(w, len(order))
-        ids = self.words(list(order))
-        lists = [ids[order[ws[0]]] if len(ws) == 1 else tuple(i for w in ws for i in ids[order[w]]) for ws in held]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
-        first = np.cumsum(counts) - counts
-        sizes = counts[piece]
-        edge = np.append(0, np.cumsum(sizes))
-        out = flat[np.arange(edge[-1]) + np.repeat(first[piece] - edge[:-1], sizes)]
+        h = B.piece_hashes(data, starts, np.append(starts[1:], len(data)), T._VALUES, B.WORD_BASE)
+        _, first, piece = np.unique(h, return_index=True, return_inverse=True)
+        pieces, simple = _pieces(data, starts, first)
+        # Most pieces are one word; the pattern cuts the others.
+        held = [(p,) if one else [w.encode("utf-8") for w in self.pattern.findall(p.decode("utf-8", "replace"))]
+                for p, one in zip(pieces, simple)]
+        order, at = _numbered(w for words in held for w in words)
+        flat, edge = _gather(*self.words(order), np.array(at, np.int64))
+        per_piece = edge[np.append(0, np.cumsum(np.fromiter(map(len, held), np.int64, len(held))))]
+        out, edge = _gather(flat, per_piece, piece)
         rows = edge[np.searchsorted(starts, offsets)]
         odd = T.odd_rows(data, offsets)
         if len(odd):
+            body = data.tobytes()
             parts = [out[a:b] for a, b in zip(rows[:-1], rows[1:])]
             for i in odd:
                 parts[i] = np.array(self.text(body[offsets[i]:offsets[i + 1]].decode("utf-8", "replace")), np.int64)
@@ -369,6 +366,39 @@ class Coder:
         return out, rows
 
 
+def _numbered(words) -> tuple[list[bytes], list[int]]:
+    """Distinct words in order of appearance, and the number of each given word."""
+    order: dict[bytes, int] = {}
+    at = [order.setdefault(w, len(order)) for w in words]
+    return list(order), at
+
+
+def _gather(flat, starts, at):
+    """Runs of ``flat`` (run i goes from starts[i] to starts[i + 1]) in the order of ``at``, and where each starts."""
+    counts = (starts[1:] - starts[:-1])[at]
+    edge = np.append(0, np.cumsum(counts))
+    return flat[np.arange(edge[-1]) + np.repeat(starts[:-1][at] - edge[:-1], counts)], edge
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _pieces(data, starts, chosen) -> tuple[list[bytes], list[bool]]:
+    """Bytes of the chosen pieces, and whether each is surely one word: a single byte, or a blank or none before
+    ASCII or Latin-1 letters only."""
+    letter = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    ends = np.append(starts[1:], len(data))
+    other = np.append(0, np.cumsum(~letter))
+    begin = starts + (data[starts] == 0x20)
+    simple = (other[ends] == other[begin]) & (begin < ends) | (ends - starts == 1)
+    body = data.tobytes()
+    return [body[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())], simple[chosen].tolist()
+
+
 def _split(text: str, token: str) -> list[str]:
     if token not in text:
         return [text] if text else []
