@@ -115,7 +115,9 @@ def cluster_state_merge(v):
 
 
 @query("live_run_state", """
-SELECT user_id, max(event_id) AS last_sequence, arg_max(event_type, event_id) AS last_event, round(max(value), 3) AS elapsed_seconds
+SELECT user_id, max(event_id) AS last_sequence, arg_max(event_type, event_id) AS last_event, round(max(value), 3) AS elapsed_seconds,
+  round(max(value / 10), 3) AS overall_percent,
+  arg_max(event_type || ' ' || event_id, event_id) FILTER (WHERE event_type <> 'view') AS message
 FROM events GROUP BY 1""")
 def live_run_state(v):
     """The streaming form: events arrive as files, state is kept per run."""
@@ -124,7 +126,10 @@ def live_run_state(v):
     events = stream.select(
         F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("sequence"),
         F.col("event_type").alias("event"), F.col("event_type").alias("stage"), F.col("event_type").alias("status"),
-        F.lit(0.0).alias("overall_percent"), F.col("value").alias("elapsed_seconds"), F.col("ts").alias("timestamp_utc"))
+        (F.col("value") / 10).alias("overall_percent"), F.col("value").alias("elapsed_seconds"), F.col("ts").alias("timestamp_utc"),
+        # An empty message keeps the last filled one.
+        F.when(F.col("event_type") == "view", "").otherwise(F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).alias("message"))
     state = run_live_state(events, shared_dir(v.spark))
     return state.select(F.col("run_id").cast("long").alias("user_id"), "last_sequence", "last_event",
-                        F.round("elapsed_seconds", 3).alias("elapsed_seconds"))
+                        F.round("elapsed_seconds", 3).alias("elapsed_seconds"),
+                        F.round("overall_percent", 3).alias("overall_percent"), "message")

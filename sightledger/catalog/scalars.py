@@ -76,7 +76,7 @@ SELECT ordinal, run_id, 'src_' || substr(sha256, 1, 32) AS source_id,
        WHEN mrun <> run_id THEN 'conflict' ELSE 'resumed' END AS outcome
 FROM m""")
 def register_sources(v):
-    docs = v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    docs = registration.digests(v.table("documents").select("doc_id", F.col("text").alias("content")))
     incoming = docs.select(F.col("doc_id").alias("ordinal"), "sha256",
                            F.concat(F.lit("run_"), (F.col("doc_id") % 2).cast("string")).alias("run_id"))
     status = F.element_at(F.array(*map(F.lit, ("completed", "failed", "processing"))),
@@ -355,11 +355,15 @@ def path_rules(v):
 @query("extract_json_object", """
 WITH t AS (
   SELECT conv_id, turn, to_json({'role': role, 'n': length(text)})::VARCHAR AS j, length(text) AS n, role FROM conversations)
-SELECT conv_id, turn,
+SELECT conv_id, turn, 'made' AS kind,
   CASE WHEN (conv_id + turn) % 5 IN (3, 4) THEN NULL ELSE role END AS role,
   CASE WHEN (conv_id + turn) % 5 IN (3, 4) THEN NULL ELSE n END AS n,
   CASE (conv_id + turn) % 5 WHEN 3 THEN 'no_json_object' WHEN 4 THEN 'not_an_object' END AS error
-FROM t""")
+FROM t
+UNION ALL
+SELECT conv_id, turn, 'text', NULL, NULL,
+  CASE WHEN json_valid(text) THEN 'not_an_object' WHEN contains(coalesce(text, ''), '{') THEN 'invalid_json' ELSE 'no_json_object' END
+FROM conversations""")
 def extract_json_object(v):
     body = F.to_json(F.struct("role", F.length("text").alias("n")))
     n = (F.col("conv_id") + F.col("turn")) % 5
@@ -370,9 +374,12 @@ def extract_json_object(v):
         .when(n == 2, F.concat(F.lit("result: "), body, F.lit(" trailing } text")))
         .when(n == 3, F.lit("no object here")).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     )
-    x = v.table("conversations").select("conv_id", "turn", jsontext.extract_json_object(raw).alias("x"))
+    talk = v.table("conversations")
+    made = talk.select("conv_id", "turn", F.lit("made").alias("kind"), raw.alias("raw"))
+    both = made.unionByName(talk.select("conv_id", "turn", F.lit("text").alias("kind"), F.col("text").alias("raw")))
+    x = both.select("conv_id", "turn", "kind", jsontext.extract_json_object("raw").alias("x"))
     parsed = F.from_json("x.payload", "role string, n bigint")
-    return x.select("conv_id", "turn", parsed["role"].alias("role"), parsed["n"].alias("n"), "x.error")
+    return x.select("conv_id", "turn", "kind", parsed["role"].alias("role"), parsed["n"].alias("n"), "x.error")
 
 
 @query("stage_percent", """

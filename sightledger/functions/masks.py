@@ -102,7 +102,10 @@ def crop_box(box, width, height, padding: int) -> Column:
 def filter_reason(
     score: Column, shape_ok: Column, area: Column, image_area: Column, box: Column, p: Params
 ) -> Column:
-    """First failing rule in the fixed order; null when the candidate survives."""
+    """First failing rule in the fixed order; null when the candidate survives.
+
+    A candidate without a score, or of unknown shape, never survives.
+    """
     def by_area(a):
         return (
             F.when(a == 0, "empty_mask")
@@ -112,8 +115,9 @@ def filter_reason(
         )
 
     return (
-        F.when(score < p.confidence_threshold, "low_confidence")
-        .when(~shape_ok, "mask_shape_mismatch")
+        F.when(score.isNull(), "missing_score")
+        .when(score < p.confidence_threshold, "low_confidence")
+        .when(~F.coalesce(shape_ok, F.lit(False)), "mask_shape_mismatch")
         .otherwise(let(area, by_area))
     )
 

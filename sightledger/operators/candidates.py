@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -320,7 +321,8 @@ def _compare_chunk(left: pd.DataFrame, right: pd.DataFrame, p: Params) -> pd.Dat
         left["area"], left["starts"], left["ends"], left["container"],
     ):
         key = (-score, raw)
-        limit = sum(1 for k in kept.keys if k < key) if last is not None and key <= last else None
+        # Kept masks come in rank order, so their keys ascend.
+        limit = bisect_left(kept.keys, key) if last is not None and key <= last else None
         dup, cont = kept.relation(area, s, e, p, limit)
         container = container if isinstance(container, str) else None
         if container is None and cont is not None:
@@ -415,23 +417,6 @@ def candidate_cap(candidates: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _judge_and_solve(pdf: pd.DataFrame, p: Params, carry: list[str]) -> pd.DataFrame:
-    """Area and box rules of the ladder, then the greedy pass over the survivors."""
-    area = np.array([(e - s).sum() for s, e in zip(pdf["starts"], pdf["ends"])], dtype="int64")
-    ratio = area / pdf["image_area"].to_numpy()
-    rules = [
-        (area == 0, "empty_mask"), (ratio < p.min_mask_area_ratio, "mask_too_small"),
-        (ratio > p.max_mask_area_ratio, "mask_too_large"), (~pdf["has_box"].to_numpy(bool), "invalid_bbox"),
-    ]
-    reason = np.select([r for r, _ in rules], [n for _, n in rules], default="").astype(object)
-    pdf = pdf.assign(area=area, mask_area_pixels=area, mask_area_ratio=ratio)
-    removed = pdf[reason != ""]
-    out = removed[carry].copy()
-    out["kept_rank"] = pd.array([None] * len(removed), dtype="Int32")
-    out["filter_reason"] = reason[reason != ""]
-    return pd.concat([out, _solve_images(pdf[reason == ""], p, carry)])
-
-
 _CORNERS = ("x_min", "y_min", "x_max", "y_max")
 
 
@@ -447,31 +432,18 @@ def _run_arrays():
 def process_candidates(candidates: DataFrame, p: Params) -> DataFrame:
     """Filter ladder, suppression and cap: one row per candidate with its outcome.
 
-    Low scores and wrong shapes never leave the JVM (the score test reaches the scan).
-    The others travel once, to the hash batch of their image, where the area rules, the
-    suppression and the ranks are settled together, so nothing is joined back. If an
-    image exceeds the bound of one task, the ladder runs in the JVM and the image goes
-    through the block-wise path of `suppress_overlaps`.
+    The ladder is one set of column rules; only its survivors travel, once, to the
+    suppression, which splits by image: small ones in hash batches, each large one
+    block by block.
     """
     flat = ["source_id", "id", "raw_candidate_id", "prompt", "score", "mask_area_pixels",
             "mask_area_ratio", *_CORNERS]
     ready = prepare(candidates, p)
-    ready = ready.select("*", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS], *_run_arrays())
-    counts = candidates.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
-    bounded = int(stats["largest"] or 0) <= p.greedy_rows
-    plain = (F.col("score") >= p.confidence_threshold) & F.col("shape_ok") if bounded else F.col(
-        "early_reason").isNull()
-    early = ready.filter(~plain).select(
+    ready = ready.select("*", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
+    early = ready.filter("early_reason is not null").select(
         *flat, F.lit(None).cast("int").alias("kept_rank"), F.col("early_reason").alias("filter_reason"))
-    rest = ready.filter(plain)
-    if bounded:
-        wide = rest.select(
-            *[c for c in flat if not c.startswith("mask_")], "has_box", "starts", "ends", "base",
-            (F.col("image_w").cast("long") * F.col("image_h")).alias("image_area"))
-        solved = _batched(wide, int(stats["rows"] or 0), p, flat, _judge_and_solve, ready.select(*flat))
-    else:
-        solved = suppress_overlaps(rest.select(*flat, "runs"), p, flat)
+    rest = ready.filter("early_reason is null").select(*flat, "runs")
+    solved = suppress_overlaps(rest, p, flat, rows_of=candidates)
     over = F.col("kept_rank") > p.max_candidates_per_image
     solved = solved.withColumn(
         "filter_reason", F.when(over, "candidate_limit").otherwise(F.col("filter_reason"))

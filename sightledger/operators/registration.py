@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightledger.functions.identity import source_id
 from sightledger.functions.validators import upload_codes
+from sightledger.session import materialize
 
 
 def _first_per(df: DataFrame, key: str, value, order) -> DataFrame:
@@ -13,9 +14,14 @@ def _first_per(df: DataFrame, key: str, value, order) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(value, order).alias("_first"))
 
 
+def digests(assets: DataFrame) -> DataFrame:
+    """All columns but the content, and its hash, stored: whatever follows reads no content again."""
+    return materialize(assets.withColumn("sha256", F.sha2("content", 256)).drop("content"))
+
+
 def asset_inventory(assets: DataFrame) -> DataFrame:
     """Mark content duplicates; the first path (case-folded order) owns the content."""
-    hashed = assets.withColumn("sha256", F.sha2("content", 256)).drop("content")
+    hashed = digests(assets)
     order = F.struct(F.lower("path").alias("l"), F.col("path").alias("p"))
     owner = _first_per(hashed, "sha256", F.col("path"), order)
     same = F.col("path") == F.col("_first")

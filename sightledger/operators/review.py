@@ -87,8 +87,11 @@ def review_coverage(
         F.when(F.col("object_summary").isNotNull(), validate_summary(F.col("object_summary")))
         .otherwise(F.array().cast("array<string>")),
     )
+    # Most reviews name no object: they skip the join instead of meeting in one partition.
+    named = reviews.filter(F.col("matched_object_id").isNotNull()).join(cards, "matched_object_id", "left")
+    nameless = reviews.filter(F.col("matched_object_id").isNull()).withColumn("_known", F.lit(None).cast("boolean"))
     checked = (
-        reviews.join(cards, "matched_object_id", "left").crossJoin(F.broadcast(memory_empty))  # one row
+        named.unionByName(nameless).crossJoin(F.broadcast(memory_empty))  # one row
         .withColumn("_faulty", F.size(faults) > 0)
         .withColumn("_unknown", F.col("matched_object_id").isNotNull() & F.col("_known").isNull())
         .withColumn("_not_new", F.col("_empty") & (F.col("verdict") == "object")
@@ -133,7 +136,7 @@ def review(payload: DataFrame, fn: Callable[[str, list], str]) -> DataFrame:
                 "raw_text": [fn(t, list(ids)) for t, ids in zip(pdf["prompt"], pdf["cluster_ids"])],
             })
 
-    return review_prompt(payload).mapInPandas(call, "batch_id int, raw_text string")
+    return review_prompt(payload).mapInPandas(call, "batch_id long, raw_text string")
 
 
 def rule_review(clusters: DataFrame) -> DataFrame:

@@ -17,6 +17,17 @@ from sightledger.session import materialize, shared_dir, union_all
 Reviewer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+# Frames of a run in which no cluster was accepted.
+_OUTCOMES = "cluster_id string, batch_id long, final_decision string, object_id string, error string"
+_OBSERVATIONS = "id string, object_id string, proposal_id string, source_id string, cluster_id string"
+_FILTERED = "proposal_id string, source_id string, target_id string, status string, filter_reason string"
+_DECISIONS = (
+    "id string, proposal_id string, cluster_id string, source_id string, decision string, matched_object_id string, "
+    "confidence double, reason_code string, short_reason string, hypothesis string, hypothesis_object_id string, "
+    "evidence string, object_id string, attempt int"
+)
+
+
 @dataclass
 class Resolution:
     clusters: DataFrame      # cluster_id, batch_id, final_decision, object_id, error
@@ -62,14 +73,18 @@ def review_loop(
     objects: DataFrame, reviewer: Reviewer, p: Params, run_id: str,
 ) -> Resolution:
     """Review batches in order. Each batch sees the objects and views all earlier batches
-    left behind, and one snapshot for all of its clusters. A rejected batch fails itself
-    and everything after it. The driver only steps through batch numbers; every batch is
+    left behind, and one snapshot for all of its clusters. A rejected batch, or one whose
+    reviewer raises, fails itself and everything after it; a cluster that breaks a commit
+    rule fails alone. The driver only steps through batch numbers; every batch is
     a Spark job over that batch's members.
     """
     spark = members.sparkSession
     folder = shared_dir(spark).rstrip("/")
     views = _Growing(folder, history.select("object_id", "observation_id", "vector", "local"))
-    seed = objects.select("id", F.lit(0).cast("long").alias("version"), "summary", "status")
+    # Versions go on from what is stored, so a later run always holds the higher number.
+    stored = F.col("version").cast("long") if "version" in objects.columns else F.lit(0).cast("long")
+    seed = objects.select("id", stored.alias("version"), "summary", "status")
+    base = seed.agg(F.max("version")).first()[0] or 0
     known = _Growing(folder, seed)
     last = clusters.agg(F.max("batch_id")).first()[0] or 0
     decisions, observations, filtered, outcomes = [], [], [], []
@@ -84,13 +99,18 @@ def review_loop(
         snapshot = M.active_fingerprints(views.before(batch_id), current)
         evidence = M.match_fingerprints(mine.withColumnRenamed("id", "query_id"), snapshot, p)
         cluster_ev = materialize(M.cluster_evidence(mine.select("cluster_id", "id"), evidence))
-        reviews = materialize(reviewer(batch.join(cluster_ev, "cluster_id"), active))
-        numbered = reviews.withColumn("batch_id", F.lit(batch_id))
-        verdict = review_coverage(
-            numbered, batch.select("batch_id", "cluster_id"),
-            active.select(F.col("id").alias("object_id")), batch.select("batch_id").distinct()).first()
-        if verdict is None or not verdict["accepted"]:
-            why = ",".join(verdict["violations"]) if verdict else "no_response"
+        reviews, why = None, None
+        try:
+            reviews = materialize(reviewer(batch.join(cluster_ev, "cluster_id"), active))
+        except Exception as error:  # whatever the reviewer's code raises fails its batch, not the run
+            why = f"reviewer_error:{type(error).__name__}"
+        if reviews is not None:
+            verdict = review_coverage(
+                reviews.withColumn("batch_id", F.lit(batch_id)), batch.select("batch_id", "cluster_id"),
+                active.select(F.col("id").alias("object_id")), batch.select("batch_id").distinct()).first()
+            if verdict is None or not verdict["accepted"]:
+                why = ",".join(verdict["violations"]) if verdict else "no_response"
+        if why is not None:
             rest = clusters.filter(F.col("batch_id") >= batch_id)
             outcomes.append(rest.select(
                 "cluster_id", "batch_id", F.lit("failed").alias("final_decision"),
@@ -99,6 +119,17 @@ def review_loop(
         resolved = materialize(CM.resolve_clusters(reviews, cluster_ev, run_id).join(
             batch.select("cluster_id", "position", "batch_id"), "cluster_id"))
         decided = materialize(CM.cluster_member_decisions(mine, resolved))
+        # A cluster that breaks a rule is not applied; the others of its batch are.
+        broken = materialize(CM.commit_violations(
+            mine, decided, CM.observations_of(decided), resolved, current,
+            mine.select(F.col("source_id").alias("id"), F.lit("processing").alias("status")).distinct(),
+            (union_all(decisions) if decisions else decided.limit(0)).select(F.col("proposal_id").alias("id"))))
+        if not broken.isEmpty():
+            bad = broken.select("cluster_id")
+            outcomes.append(broken.join(batch, "cluster_id").select(
+                "cluster_id", "batch_id", F.lit("failed").alias("final_decision"), F.lit(None).cast("string").alias("object_id"),
+                F.concat_ws(",", "violations").alias("error")))
+            resolved, decided = (materialize(df.join(bad, "cluster_id", "left_anti")) for df in (resolved, decided))
         seen = CM.observations_of(decided)
         decisions.append(decided)
         observations.append(seen)
@@ -109,26 +140,23 @@ def review_loop(
         new_views = seen.join(mine.select(F.col("id").alias("proposal_id"), "vector", "local"), "proposal_id")
         views.add(new_views.withColumnRenamed("id", "observation_id"), batch_id)
         changed = CM.object_changes(resolved).select(
-            "id", F.lit(batch_id).cast("long").alias("version"), "summary", F.lit("active").alias("status"))
+            "id", F.lit(base + batch_id).cast("long").alias("version"), "summary", F.lit("active").alias("status"))
         known.add(changed, batch_id)
-    cluster_out = union_all(outcomes)
-    none = members.limit(0)
-    d = union_all(decisions) if decisions else None
-    o = union_all(observations) if observations else None
-    f = union_all(filtered) if filtered else None
+
+    def joined(frames, schema):
+        return union_all(frames) if frames else spark.createDataFrame([], schema)
+
+    cluster_out = joined(outcomes, _OUTCOMES)
+    d = joined(decisions, _DECISIONS)
     state = members.select("cluster_id", F.col("id").alias("proposal_id"), "source_id").join(cluster_out, "cluster_id")
-    if d is not None:
-        per = d.select("proposal_id", F.col("decision").alias("_d"))
-        state = state.join(per, "proposal_id", "left")
-    else:
-        state = state.withColumn("_d", F.lit(None).cast("string"))
+    state = state.join(d.select("proposal_id", F.col("decision").alias("_d")), "proposal_id", "left")
     final = F.col("final_decision")
     status = F.when(final == "failed", "failed").when(final == "ignored", "filtered").otherwise("decided")
     out = state.select(
         "proposal_id", "source_id", "cluster_id", "batch_id", status.alias("status"),
         F.coalesce("_d", final).alias("decision"), "object_id", "error")
-    return Resolution(cluster_out, members, d if d is not None else none, o if o is not None else none,
-                      f if f is not None else none, known.before(last + 1), out)
+    return Resolution(cluster_out, members, d, joined(observations, _OBSERVATIONS), joined(filtered, _FILTERED),
+                      known.before(last + 1), out)
 
 
 def close_run(sources: DataFrame, outcomes: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:

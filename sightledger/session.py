@@ -95,7 +95,7 @@ def distributed_row_number(
     task ever holds a group.
     """
     if keys and max_group_rows(df, *keys) <= bound:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
     sort = [F.col(k).asc() for k in keys] + list(order)
     placed = materialize(
         df.repartitionByRange(parallelism(df.sparkSession), *sort)
@@ -112,7 +112,7 @@ def distributed_row_number(
         "_base", F.coalesce(F.sum("_n").over(before), F.lit(0))
     ).select(*keys, "_part", "_first", "_base")
     joined = placed.join(offsets, keys + ["_part"])
-    number = (F.col("_pos") - F.col("_first") + F.col("_base") + 1).cast("int")
+    number = F.col("_pos") - F.col("_first") + F.col("_base") + 1
     return joined.withColumn(name, number).drop("_part", "_pos", "_first", "_base")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sightledger.schema import LEDGER, SCHEMA_VERSION
 
 _META = T.StructType([T.StructField("version", T.IntegerType())])
-_COMMIT = T.StructType([T.StructField("commit_id", T.StringType())])
+_COMMIT = T.StructType([T.StructField("commit_id", T.StringType()), T.StructField("write_attempt", T.StringType())])
 
 
 class LedgerError(RuntimeError):
@@ -17,8 +19,8 @@ class LedgerError(RuntimeError):
 def init_ledger(spark: SparkSession, root: str) -> None:
     spark.createDataFrame([(SCHEMA_VERSION,)], _META).coalesce(1).write.mode("error").parquet(f"{root}/_meta")
     for name, schema in LEDGER.items():
-        stored = T.StructType(list(schema) + [T.StructField("commit_id", T.StringType())])
-        spark.createDataFrame([], stored).write.mode("error").parquet(f"{root}/{name}")
+        stored = T.StructType([*schema, T.StructField("commit_id", T.StringType()), T.StructField("write_attempt", T.StringType())])
+        spark.createDataFrame([], stored).write.mode("error").partitionBy("write_attempt").parquet(f"{root}/{name}")
     spark.createDataFrame([], _COMMIT).write.mode("error").parquet(f"{root}/_commits")
 
 
@@ -31,34 +33,46 @@ def _check(spark: SparkSession, root: str) -> None:
         raise LedgerError(f"unsupported ledger version {version and version['version']}")
 
 
+def _published(spark: SparkSession, root: str) -> DataFrame:
+    """(commit_id, attempt) of every published commit; a second marker of one commit changes nothing."""
+    commits = spark.read.schema(_COMMIT).parquet(f"{root}/_commits")
+    return commits.groupBy("commit_id").agg(F.min("write_attempt").alias("write_attempt"))
+
+
 def write_commit(spark: SparkSession, root: str, commit_id: str, tables: dict[str, DataFrame]) -> None:
     """Write rows of all tables, then publish them together with one marker.
 
-    Rows of a commit without its marker are invisible, so a job that dies half way
-    leaves nothing behind that a reader could see.
+    Every attempt writes below its own partition and the marker names the attempt, so rows
+    of a job that died half way stay invisible, also when the commit is tried again.
+    A commit that is already published is left alone.
     """
     unknown = sorted(set(tables) - set(LEDGER))
     if unknown:
         raise LedgerError(f"unknown tables {unknown}")
+    if not _published(spark, root).filter(F.col("commit_id") == commit_id).isEmpty():
+        return
+    attempt = uuid.uuid4().hex
     for name, df in tables.items():
         rows = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns
                            else F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER[name]])
-        rows.withColumn("commit_id", F.lit(commit_id)).write.mode("append").parquet(f"{root}/{name}")
-    spark.createDataFrame([(commit_id,)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
+        rows = rows.withColumn("commit_id", F.lit(commit_id)).withColumn("write_attempt", F.lit(attempt))
+        rows.write.mode("append").partitionBy("write_attempt").parquet(f"{root}/{name}")
+    spark.createDataFrame([(commit_id, attempt)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
 
 
 def read_ledger(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Published rows of all six tables; a missing table or other version is an error."""
+    """Published rows of all six tables; a missing table or other version is an error.
+
+    Attempts are partitions, so the join with the markers prunes what was never published.
+    """
     _check(spark, root)
-    commits = spark.read.schema(_COMMIT).parquet(f"{root}/_commits").distinct()
+    commits = _published(spark, root)
     out = {}
     for name, schema in LEDGER.items():
-        stored = T.StructType(list(schema) + [T.StructField("commit_id", T.StringType())])
+        stored = T.StructType([*schema, T.StructField("commit_id", T.StringType()), T.StructField("write_attempt", T.StringType())])
         try:
             df = spark.read.schema(stored).parquet(f"{root}/{name}")
         except Exception as exc:
             raise LedgerError(f"ledger table missing: {name}") from exc
-        out[name] = df.join(commits, "commit_id", "left_semi").drop("commit_id")
+        out[name] = df.join(commits, ["commit_id", "write_attempt"], "left_semi").drop("commit_id", "write_attempt")
     return out
-
-

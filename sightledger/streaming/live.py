@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +26,7 @@ def live_state(events: DataFrame, key: str = "run_id") -> DataFrame:
         F.max_by("stage", F.when(F.coalesce("stage", F.lit("")) != "", F.col("sequence"))).alias("stage"),
         F.max_by("status", "sequence").alias("stage_status"),
         F.max("overall_percent").alias("overall_percent"),
+        F.max_by("message", F.when(F.coalesce("message", F.lit("")) != "", F.col("sequence"))).alias("message"),
         F.max("elapsed_seconds").alias("elapsed_seconds"),
         F.max_by("timestamp_utc", "sequence").alias("last_event_at"),
     )
@@ -64,21 +66,32 @@ def start_terminal_state(states: DataFrame, reports: DataFrame, path: str, check
         "checkpointLocation", checkpoint).foreachBatch(close).start()
 
 
+def known_sources(stored: DataFrame) -> DataFrame:
+    """One row per hash: its newest status."""
+    newest = F.max_by(F.struct("run_id", "status"), "batch_id").alias("s")
+    return stored.groupBy("sha256").agg(newest).select("sha256", "s.run_id", "s.status")
+
+
 def start_ingestion(
-    incoming: DataFrame, known_path: str, checkpoint: str, run_id: str, available_now: bool = False
+    incoming: DataFrame, known_path: str, checkpoint: str, run_id: str, available_now: bool = False,
+    process: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Register arriving assets against the stored hashes; seen content is skipped.
 
+    ``process(rows, batch_id)`` resolves the accepted rows of a batch and returns
+    (sha256, status); without it content counts as completed once it is registered.
     known_path holds one directory per batch (batch_id = -1 for what existed before), so
     a replayed batch sees exactly what it saw the first time and overwrites itself.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
         known = batch.sparkSession.read.parquet(known_path).filter(F.col("batch_id") < batch_id)
         rows = batch.withColumn("run_id", F.lit(run_id))
-        done = register_sources(rows, known.select("sha256", "run_id", "status"))
-        done.filter(F.col("outcome").isin("new", "resumed")).select(
-            "sha256", "run_id", F.lit("completed").alias("status")
-        ).write.mode("overwrite").parquet(f"{known_path}/batch_id={batch_id}")
+        done = register_sources(rows, known_sources(known)).filter(F.col("outcome").isin("new", "resumed"))
+        if process is None:
+            states = done.select("sha256", "run_id", F.lit("completed").alias("status"))
+        else:
+            states = process(done, batch_id).select("sha256", F.lit(run_id).alias("run_id"), "status")
+        states.write.mode("overwrite").parquet(f"{known_path}/batch_id={batch_id}")
 
     writer = incoming.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest)
     if available_now:

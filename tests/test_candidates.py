@@ -73,6 +73,13 @@ def test_reason_order_and_empty(spark):
     assert outcome(C.process_candidates(shifted, Params()))["m"][1] == "mask_shape_mismatch"
 
 
+@pytest.mark.parametrize("greedy_rows", [4096, 1])
+def test_no_candidate_is_lost_without_a_score(spark, greedy_rows):
+    rows = [("none", None, (0, 0, 20, 20)), ("good", .95, (30, 30, 60, 60))]
+    got = outcome(C.process_candidates(frame(spark, rows, 100, 100), Params(greedy_rows=greedy_rows)))
+    assert got == {"none": ("filtered", "missing_score"), "good": ("pending", None)}
+
+
 def test_iou_and_containment(spark):
     df = frame(spark, [("a", .9, (0, 0, 2, 1)), ("b", .8, (0, 0, 1, 2))], 2, 2)
     r = C.mask_overlaps(C.prepare(df, Params())).first()

@@ -43,6 +43,43 @@ def test_later_batches_see_earlier_objects(spark):
     assert sorted(out.values()) == ["existing", "new", "new"] and res.objects.filter("version > 0").select("id").distinct().count() == 2
 
 
+def test_empty_run(spark):
+    res = RS.resolve_entities(*inputs(spark, []), Params(), "run_1")
+    assert all(df.count() == 0 for df in (res.clusters, res.decisions, res.observations, res.filtered, res.outcomes))
+
+
+def test_reviewer_error_fails_its_batch_and_later_ones(spark):
+    rows = [("p1", "s1", (1, 0)), ("p2", "s1", (0, 1)), ("p3", "s1", (-1, 0))]
+    calls = []
+
+    def shaky(clusters, objects):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("no answer")
+        return RS.rule_reviewer(clusters, objects)
+
+    res = RS.resolve_entities(*inputs(spark, rows), Params(max_clusters_per_batch=1), "run_1", shaky)
+    assert sorted(r.status for r in res.outcomes.collect()) == ["decided", "failed", "failed"] and len(calls) == 2
+    assert {r.error for r in res.outcomes.collect()} == {None, "reviewer_error:RuntimeError"}
+
+    def broken(clusters, objects):
+        raise ValueError("down")
+
+    res = RS.resolve_entities(*inputs(spark, rows), Params(), "run_1", broken)
+    full = RS.resolve_entities(*inputs(spark, rows), Params(), "run_1")
+    for name in ("decisions", "observations", "filtered"):
+        assert getattr(res, name).count() == 0
+        assert getattr(res, name).dtypes == getattr(full, name).dtypes
+
+
+def test_versions_go_on_from_the_stored_ones(spark):
+    fp, history, _ = inputs(spark, [("p1", "s1", (1, 0))])
+    objects = spark.createDataFrame([("o", 7, None, "active")], f"id string, version long, summary {SUMMARY}, status string")
+    history = spark.createDataFrame([("o", "v", [1.0, 0.0], [[1.0, 0.0]])], history.schema)
+    res = RS.resolve_entities(fp, history, objects, Params(), "run_2")
+    assert {r.version for r in res.objects.collect()} == {7, 8}
+
+
 def test_ignore_and_rejected_batch(spark):
     rows = [("p1", "s1", (1, 0)), ("p2", "s2", (0, 1))]
 

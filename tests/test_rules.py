@@ -1,5 +1,6 @@
 """Parameters, text extraction, validators, ranking, event states, gates."""
 
+import json
 import random
 
 import pytest
@@ -24,11 +25,14 @@ def test_defaults_and_rules():
 
 
 @pytest.mark.parametrize("text,payload,error", [
-    ('```json\n{"a": 1}\n```', '{"a": 1}', None), ("[]", None, "not_an_object"), ('result: {"reviews": []} tail', '{"reviews": []}', None),
-    ("none", None, "no_json_object"), ("x {bad", None, "invalid_json"), ('  {"b": {"c": [1]}}  ', '{"b": {"c": [1]}}', None),
+    ('```json\n{"a": 1}\n```', {"a": 1}, None), ("[]", None, "not_an_object"), ('result: {"reviews": []} tail', {"reviews": []}, None),
+    ("none", None, "no_json_object"), ("x {bad", None, "invalid_json"), ('  {"b": {"c": [1]}}  ', {"b": {"c": [1]}}, None),
+    (None, None, "no_json_object"), ("", None, "no_json_object"), ('see {"a": "}{", "b": "\\\\\\""} and {"c": 1}', {"a": "}{", "b": '\\"'}, None),
+    ("{'a': 1}", None, "invalid_json"), ('```\n[{"a": 1}]\n```', None, "not_an_object"), ('{"a": 1, "a": 2}', {"a": 2}, None), ("3", None, "not_an_object"),
 ])
-def test_json_extraction(text, payload, error):
-    assert jsontext.first_object(text) == (payload, error)
+def test_json_extraction(spark, text, payload, error):
+    row = spark.createDataFrame([(text,)], "t string").select(jsontext.extract_json_object("t").alias("x")).first().x
+    assert (row.payload and json.loads(row.payload), row.error) == (payload, error)
 
 
 def test_paths(spark):

@@ -79,6 +79,26 @@ def test_incremental_ingestion(spark, tmp_path):
     assert sorted(r.sha256 for r in spark.read.parquet(known).collect()) == ["a", "b", "c"]
 
 
+def test_ingestion_resolves_and_resumes(spark, tmp_path):
+    known, src = str(tmp_path / "known"), tmp_path / "in"
+    spark.createDataFrame([("z", "r0", "completed")], "sha256 string, run_id string, status string").write.parquet(f"{known}/batch_id=-1")
+    schema = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("sha256", T.StringType())])
+    src.mkdir()
+    seen, state = [], {"status": "failed"}
+
+    def process(rows, batch_id):
+        seen.append(sorted((r.sha256, r.outcome) for r in rows.collect()))
+        return rows.select("sha256", F.lit(state["status"]).alias("status"))
+
+    for i, status in enumerate(("failed", "completed", "completed")):
+        (src / f"{i}.json").write_text(json.dumps({"ordinal": i, "sha256": "a"}))
+        state["status"] = status
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+        live.start_ingestion(stream, known, str(tmp_path / "ck"), "r1", True, process).awaitTermination()
+    # New, then taken up again once, then known: never twice although two rows are stored.
+    assert seen == [[("a", "new")], [("a", "resumed")], []]
+
+
 def test_responses_current_and_legacy(spark, tmp_path):
     new = {"stage": "cluster_semantic_review", "batch_id": "cluster_batch_0001", "cluster_ids": ["c"], "error": None,
            "response": {"reviews": [{"cluster_id": "c", "verdict": "ignore", "identity_hypothesis": "uncertain", "short_reason": "r"}]},
@@ -117,9 +137,15 @@ def test_ledger_commits_are_all_or_nothing(spark, tmp_path):
     runs = spark.createDataFrame([("run_1", "running")], "id string, status string")
     ledger.write_commit(spark, root, "k1", {"runs": runs})
     # A half-written commit: rows without marker.
-    runs.withColumn("commit_id", F.lit("k2")).select("id", "status", "commit_id").write.mode("append").parquet(f"{root}/runs")
+    runs.select("id", "status", F.lit("k2").alias("commit_id"), F.lit("lost").alias("write_attempt")).write.mode("append").partitionBy(
+        "write_attempt").parquet(f"{root}/runs")
     tables = ledger.read_ledger(spark, root)
     assert [r.id for r in tables["runs"].collect()] == ["run_1"] and tables["decisions"].count() == 0
+    # Trying the commit again publishes only its own rows, and a published one is left alone.
+    more = spark.createDataFrame([("run_2", "running")], "id string, status string")
+    for _ in range(2):
+        ledger.write_commit(spark, root, "k2", {"runs": more})
+    assert sorted(r.id for r in ledger.read_ledger(spark, root)["runs"].collect()) == ["run_1", "run_2"]
     with pytest.raises(ledger.LedgerError):
         ledger.write_commit(spark, root, "k3", {"other": runs})
     spark.createDataFrame([(9,)], "version int").write.mode("overwrite").parquet(f"{root}/_meta")
