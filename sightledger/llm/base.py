@@ -6,6 +6,7 @@ and hashed with array operations, and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightledger.session import parallelism, shared_dir, ship
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 # White space of a word boundary: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -54,6 +55,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker must not sit on what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES):
     """Slices of rows holding about ``limit`` bytes of text (one row at least), with bytes and offsets."""
     for batch in batches:
@@ -66,6 +75,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at), data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
             at = end
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

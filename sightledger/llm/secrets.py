@@ -222,13 +222,18 @@ def train(labelled: DataFrame, most: int = MAX_FINDINGS) -> Forest:
 
 
 def _scored(data, offsets, paths, language, forest):
-    """Per block: candidates (row, start, end, value) and their scores."""
+    """Per block: candidates (row, start, end, value), their scores, and which are secrets.
+
+    A value in a provider's fixed format is a secret by itself; on all others the forest decides.
+    """
     found, x = [], []
     for row, a, b in _candidates(data, offsets):
         value, before, after = _around(data, offsets, row, a, b)
         found.append((row, a, b, value))
         x.append(features(value, before, after, paths[row], language))
-    return found, forest.score(np.array(x)) if x else np.zeros(0)
+    score = forest.score(np.array(x)) if x else np.zeros(0)
+    fixed = np.array([bool(_FORMATS.fullmatch(v)) for *_, v in found], bool)
+    return found, score, (score >= THRESHOLD) | fixed
 
 
 def _chars(data, a, b):
@@ -246,12 +251,12 @@ def scan(docs: DataFrame, language: Language, forest: Forest, path: str = "sourc
 
     def run(batches):
         for part, data, offsets in B.blocks(batches):
-            found, score = _scored(data, offsets, part.column("path").to_pylist(), language, forest)
+            found, score, secret = _scored(data, offsets, part.column("path").to_pylist(), language, forest)
             if found:
                 ids = part.column("doc_id").to_pylist()
                 start = [_chars(data, int(offsets[r]), a) for r, a, _, _ in found]
                 yield B.record(schema, [ids[r] for r, *_ in found], start, [s + len(v) for s, (*_, v) in zip(start, found)],
-                               [v for *_, v in found], score, score >= THRESHOLD)
+                               [v for *_, v in found], score, secret)
 
     return docs.select("doc_id", "text", _path(docs, path)).mapInArrow(
         run, "doc_id long, start long, end long, value string, score double, is_secret boolean")
@@ -263,10 +268,10 @@ def redact(docs: DataFrame, language: Language, forest: Forest, path: str = "sou
 
     def run(batches):
         for part, data, offsets in B.blocks(batches):
-            found, score = _scored(data, offsets, part.column("__path").to_pylist(), language, forest)
+            found, _, secret = _scored(data, offsets, part.column("__path").to_pylist(), language, forest)
             cuts: dict[int, list] = {}
-            for (row, a, b, _), s in zip(found, score):
-                if s >= THRESHOLD:
+            for (row, a, b, _), yes in zip(found, secret):
+                if yes:
                     cuts.setdefault(row, []).append((a, b))
             column = part.column(part.schema.get_field_index("text"))
             if cuts:

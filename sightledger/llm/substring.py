@@ -28,6 +28,7 @@ DEPTH = 2
 SLICE_BITS = 22          # cells of a slice
 MAX_CELL_BITS = 29       # cells of a row: the broadcast is at most DEPTH * 2^29 bits = 128 MiB
 FLUSH_WINDOWS = 4 << 20  # windows a task holds before it sends cells
+FLUSH_ENTRIES = 1 << 20  # candidate windows a task holds before it sends entries
 MERGED_TASKS = 256       # partition sketches that one merge takes; beyond, merges are in two levels
 ENTRY_BITS = 20          # windows of a slice in pass 2, about
 ROWS_PER_BLOCK = 4096
@@ -87,12 +88,13 @@ def _sketch(window, bits, groups):
     def flush(held, part):
         slices, blobs = [], []
         for d in range(DEPTH):
-            cells = _twice(np.sort(np.concatenate([h[d] for h in held])).astype(np.int64))
-            cuts = np.searchsorted(cells, np.arange(per_row + 1, dtype=np.int64) << slice_bits)
+            cells = np.concatenate([h[d] for h in held])
+            cells.sort()
+            cuts = np.searchsorted(cells >> np.uint32(slice_bits), np.arange(per_row + 1))
             for s in range(per_row):
                 if cuts[s + 1] > cuts[s]:
                     slices.append(d * per_row + s)
-                    blobs.append(_encode(cells[cuts[s]:cuts[s + 1]] - (s << slice_bits)))
+                    blobs.append(_encode(_twice(cells[cuts[s]:cuts[s + 1]].astype(np.int64) - (s << slice_bits))))
         return B.record(_SKETCH, slices, [part] * len(slices), blobs)
 
     def run(batches):
@@ -200,7 +202,7 @@ def _entries(window, bits, slice_bits, sent):
                 if hit[lo:hi].any():
                     held.append((h1[lo:hi][hit[lo:hi]], h2[lo:hi][hit[lo:hi]]))
                     size += int(hit[lo:hi].sum())
-                if size >= FLUSH_WINDOWS:
+                if size >= FLUSH_ENTRIES:
                     yield close(now, held)
                     held, size = [], 0
                 a = b

@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training. Word counts of labelled texts give log-odds with an informative Dirichlet prior, whose weights
+Training. The numbers of labelled texts that hold a word give log-odds with an informative Dirichlet prior, whose weights
 are the words' counts over all documents; words without significant odds cost a small drift, so chance
 segments die out. Scoring. One linear scan (all maximal segments, as Ruzzo and Tompa define them) finds
 every passage; its score turns into an expected number of chance passages by the extreme-value law of
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from sightledger.llm import base as B
 
 MAX_LABELLED = 20_000  # labelled texts a model is fitted on, at most
+STEMS = (4, 5, 6, 8)    # bytes of a word's beginnings that are features of their own
 MAX_WORDS = 8_192      # words with log-odds, at most
 PRIOR = 500.0          # total weight of the Dirichlet prior
-LEAST_ROOT = 4.0       # signed root of the likelihood ratio a word's counts must reach
+LEAST_ROOT = 4.5       # signed root of the likelihood ratio a word's counts must reach
 DRIFT = 0.4
 TOP_SCORE = 6.0
 REJECT = 0.7           # texts that score this or more are predicted toxic
@@ -48,9 +49,12 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+
 def _word_hashes(data, offsets):
+    """One row of hashes per word: the word, and its beginnings (again the word where it is not longer)."""
     starts, ends, first = B.spans(data, offsets, _OTHER)
-    return B.piece_hashes(data, starts, ends, _VALUES, B.WORD_BASE), first, starts, ends
+    h = [B.piece_hashes(data, starts, np.minimum(ends, starts + k), _VALUES, B.WORD_BASE) for k in (1 << 30, *STEMS)]
+    return np.stack(h, 1), first, starts, ends
 
 
 def _counts():
@@ -59,7 +63,12 @@ def _counts():
     def run(batches):
         for part, data, offsets in B.blocks(batches):
             h, first, *_ = _word_hashes(data, offsets)
-            label, half = (np.repeat(part.column(c).to_numpy(), np.diff(first)) for c in ("toxic", "half"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(first) * h.shape[1])
+            h = h.ravel()
+            # A word or stem counts once in a text, so one text's refrain says no more than a mention.
+            once = np.unique(h + B.mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+            h, row = h[once], row[once]
+            label, half = (part.column(c).to_numpy()[row] for c in ("toxic", "half"))
             for side in (0, 1):
                 mine = half == side
                 words, at = np.unique(h[mine], return_inverse=True)
@@ -91,8 +100,11 @@ def _background(words):
         total, every = np.zeros(len(words), np.int64), 0
         for _, data, offsets in B.blocks(batches):
             h, *_ = _word_hashes(data, offsets)
-            at = _lookup(words, h)
-            total += np.bincount(at[at >= 0], minlength=len(words))
+            for k in range(h.shape[1]):
+                # A word that is not longer than a stem is that stem: it counts once.
+                mine = h[:, k] if k == 0 else h[(h[:, k] != h[:, :k].T).all(0), k]
+                at = _lookup(words, mine)
+                total += np.bincount(at[at >= 0], minlength=len(words))
             every += len(h)
         seen = np.flatnonzero(total)
         yield B.record(schema, np.append(seen, -1), np.append(total[seen], every))
@@ -103,10 +115,17 @@ def _background(words):
 def _scan(model, data, offsets):
     """Per row: words, and the maximal segments as (score, first word, last word)."""
     h, first, starts, ends = _word_hashes(data, offsets)
-    at = _lookup(model.words, h)
-    known = np.flatnonzero(at >= 0)
+    high, low = np.zeros(len(h)), np.zeros(len(h))
+    for k in range(h.shape[1]):
+        at = _lookup(model.words, h[:, k])
+        hit = np.flatnonzero(at >= 0)
+        high[hit] = np.maximum(high[hit], model.scores[at[hit]])
+        low[hit] = np.minimum(low[hit], model.scores[at[hit]])
+    # The most toxic reading of a word counts; without one, the cleanest.
+    value = np.where(high > 0, high, low)
+    known = np.flatnonzero(value != 0)
     rows = np.searchsorted(first, known, "right") - 1
-    values = model.scores[at[known]]
+    values = value[known]
     cuts = np.searchsorted(rows, np.arange(len(first)))
     found = [maximal(values[a:b].tolist(), (known[a:b] - first[i]).tolist(), DRIFT) if b > a else []
              for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
@@ -169,17 +188,23 @@ def _passages(model):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights by Newton steps with a weak ridge."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Weights by Newton steps with a weak ridge; more toxic evidence never lowers a score, so none is negative."""
+    use = list(range(x.shape[1]))
+    while True:
+        z = np.column_stack([np.ones(len(x)), x[:, use]])
+        w = np.zeros(z.shape[1])
+        ridge = np.diag([1e-3] + [0.05] * len(use))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if not use or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0] + [i + 1 for i in use]] = w
+            return out
+        del use[int(w[1:].argmin())]
 
 
 def _decay(scores, share):
@@ -209,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     # At most max_labelled small rows.
     picked = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "toxic", "half").collect()],
                                    "doc_id long, toxic int, half long")
-    labelled = B.table(docs.join(F.broadcast(picked), "doc_id"))
+    # Copies of one text are one witness.
+    labelled = docs.join(F.broadcast(picked), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    labelled = B.table(labelled.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("half").alias("half")))
     counts = labelled.select("text", "toxic", "half").mapInArrow(_counts(), "h long, half long, toxic long, clean long")
     side = lambda c, k: F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
     counts = counts.groupBy("h").agg(side("toxic", 0), side("clean", 0), side("toxic", 1), side("clean", 1))

@@ -123,6 +123,7 @@ def brute_repeats(rows, window):
 def test_repeated_windows(spark, bits, parts, merged, monkeypatch):
     monkeypatch.setattr(substring, "MERGED_TASKS", merged)
     monkeypatch.setattr(substring, "FLUSH_WINDOWS", 50)
+    monkeypatch.setattr(substring, "FLUSH_ENTRIES", 20)
     rng = random.Random(7)
     passage = [f"p{i}" for i in range(12)]
     rows = [(0, None), (1, ""), (2, "  a  b \n\n c  "), (3, "z " * 300), (4, " ".join(passage)), (5, "\t" + " ".join(passage) + " ")]
