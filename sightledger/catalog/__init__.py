@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from sightledger.catalog.registry import ORACLES, QUERIES
-from sightledger.catalog import candidates, entities, events, ledger, matching, scalars  # noqa: F401
+from sightledger.catalog import candidates, entities, events, ledger, matching, roundtrips, scalars  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
