@@ -24,8 +24,22 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+BATCH_ROWS = 512
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Code on the workers, and Arrow batches that hold long texts without filling a worker.
+
+    The batch size changes no result; a session that has set its own keeps it.
+    """
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+    return ship(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def table(df: DataFrame) -> DataFrame:

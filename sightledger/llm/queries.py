@@ -43,7 +43,7 @@ def op2_secret_forest(spark, sf_dir):
 
 @query("op3_kmeans_tree")
 def op3_kmeans_tree(spark, sf_dir):
-    B.documents(spark, sf_dir)
+    B.ready(spark)
     vectors = ann.clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return ann.neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
 
