@@ -9,17 +9,20 @@ from sightledger.llm import base as B, minhash, packing, secrets, substring, tox
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; all others stay as they are."""
+    B.ready(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    B.ready(spark)
     return minhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat lose their words; a text that loses none stays as it is."""
+    B.ready(spark)
     out = substring.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return _counted(out.withColumn("text", text), docs)
@@ -27,11 +30,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; the rest of every text stays."""
+    B.ready(spark)
     return _counted(secrets.redact(docs, *secrets.fit(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
+    B.ready(spark)
     return packing.pack(docs)
 
 
