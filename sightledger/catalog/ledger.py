@@ -326,34 +326,66 @@ rep AS (SELECT 'run_' || n_nationkey AS run_id, (['passed', 'failed', 'completed
 """
 
 
+COUNTS = """
+sp AS (SELECT p.id, s.run_id, p.status FROM proposals p JOIN source_images s ON s.id = p.source_id),
+st AS (SELECT run_id, 'source' AS kind, status, count(*) AS n FROM source_images GROUP BY ALL
+  UNION ALL SELECT run_id, 'proposal', status, count(*) FROM sp GROUP BY ALL
+  UNION ALL SELECT run_id, 'decision', decision, count(*) FROM decisions d JOIN sp ON sp.id = d.proposal_id GROUP BY ALL),
+k AS (SELECT run_id, sum(n) FILTER (WHERE kind = 'source') AS us,
+    string_agg(status || '=' || n, ',' ORDER BY status) FILTER (WHERE kind = 'source') AS sc,
+    string_agg(status || '=' || n, ',' ORDER BY status) FILTER (WHERE kind = 'proposal') AS pc,
+    string_agg(status || '=' || n, ',' ORDER BY status) FILTER (WHERE kind = 'decision') AS dc,
+    sum(n) FILTER (WHERE kind = 'proposal' AND status = 'filtered') AS nf, sum(n) FILTER (WHERE kind = 'proposal' AND status = 'failed') AS pf,
+    sum(n) FILTER (WHERE kind = 'decision' AND status = 'new') AS d1, sum(n) FILTER (WHERE kind = 'decision' AND status = 'existing') AS d2,
+    sum(n) FILTER (WHERE kind = 'decision' AND status = 'ignored') AS d3, sum(n) FILTER (WHERE kind = 'decision' AND status = 'uncertain') AS d4
+  FROM st GROUP BY 1)
+"""
+
+
+def _report_counts(v):
+    return SM.report_counts(v.source_images(), v.proposals(), v.decisions())
+
+
 @query("result_summary", f"""
-WITH {REPORT},
+WITH {LEDGER}, {REPORT}, {COUNTS},
+cd AS (SELECT run_id, string_agg(final_decision || '=' || n, ',' ORDER BY final_decision) AS cc
+       FROM (SELECT run_id, final_decision, count(*) AS n FROM clu WHERE final_decision IS NOT NULL GROUP BY ALL) GROUP BY 1),
+ed AS (SELECT run_id, count(DISTINCT message) AS ec FROM (
+         SELECT run_id, error AS message FROM rep UNION ALL SELECT run_id, error FROM img UNION ALL SELECT run_id, error FROM clu)
+       WHERE message IS NOT NULL GROUP BY 1),
 i AS (SELECT run_id, count(*) AS n, sum(coalesce(nullif(raw, 0), nullif(grid, 0), nullif(above, 0), 0))::BIGINT AS raw,
         sum(coalesce(kept, 0))::BIGINT AS kept, sum(filtered)::BIGINT AS filtered FROM img GROUP BY 1),
 c AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE reviewed) AS r FROM clu GROUP BY 1)
 SELECT rep.run_id, status, coalesce(i.n, 0) AS input_files, coalesce(raw, 0) AS raw_candidates, coalesce(kept, 0) AS kept,
   coalesce(filtered, 0) AS filtered, coalesce(c.n, 0) AS clusters, coalesce(r, 0) AS reviewed_clusters,
   coalesce(dups, 0)::BIGINT AS duplicate_sources_skipped, obs::BIGINT AS observations_added, objs::BIGINT AS active_objects_total,
-  true AS manual_review_required
-FROM rep LEFT JOIN i ON i.run_id = rep.run_id LEFT JOIN c ON c.run_id = rep.run_id""")
+  coalesce(us, 0)::BIGINT AS unique_sources, sc AS source_counts, pc AS proposal_counts, dc AS decision_counts, cc AS cluster_counts,
+  coalesce(ec, 0) AS error_count, true AS manual_review_required
+FROM rep LEFT JOIN i ON i.run_id = rep.run_id LEFT JOIN c ON c.run_id = rep.run_id LEFT JOIN k ON k.run_id = rep.run_id
+LEFT JOIN cd ON cd.run_id = rep.run_id LEFT JOIN ed ON ed.run_id = rep.run_id""")
 def result_summary(v):
-    return SM.result_summary(v.reports(), v.report_images(), v.clusters())
+    out = SM.result_summary(v.reports(), v.report_images(), v.clusters(), _report_counts(v), _errors(v))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    maps = ("source_counts", "proposal_counts", "decision_counts", "cluster_counts")
+    return out.withColumns({c: F.nullif(text(c), F.lit("")) for c in maps}).drop("review_notice")
 
 
 @query("report_metrics", f"""
-WITH {REPORT},
+WITH {LEDGER}, {REPORT}, {COUNTS},
 i AS (SELECT run_id, count(*) AS n, sum(coalesce(raw, grid, above, 0))::BIGINT AS raw, sum(coalesce(kept, 0))::BIGINT AS kept,
         sum(filtered)::BIGINT AS filtered, count(*) FILTER (WHERE duplicate) AS dup FROM img GROUP BY 1),
 c AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE reviewed) AS r,
         {", ".join(f"count(*) FILTER (WHERE final_decision = '{o}') AS {o}_clusters" for o in ("new", "existing", "ignored", "uncertain", "failed"))}
       FROM clu GROUP BY 1)
-SELECT rep.run_id, coalesce(i.n, 0) AS inputs, coalesce(dups, dup, 0)::BIGINT AS duplicates, coalesce(raw, 0) AS raw_candidates,
+SELECT rep.run_id, coalesce(i.n, 0) AS inputs, coalesce(us, 0)::BIGINT AS unique_sources, coalesce(nf, 0)::BIGINT AS filtered,
+  coalesce(d1, 0)::BIGINT AS new_count, coalesce(d2, 0)::BIGINT AS existing_count, coalesce(d3, 0)::BIGINT AS ignored_count,
+  coalesce(d4, 0)::BIGINT AS uncertain_count, coalesce(pf, 0)::BIGINT AS failed_proposals, coalesce(dups, dup, 0)::BIGINT AS duplicates, coalesce(raw, 0) AS raw_candidates,
   coalesce(kept, 0) AS kept, coalesce(filtered, 0) AS script_filtered, coalesce(c.n, 0) AS clusters, coalesce(r, 0) AS reviewed_clusters,
   {", ".join(f"coalesce({o}_clusters, 0) AS {o}_clusters" for o in ("new", "existing", "ignored", "uncertain", "failed"))},
   obs::BIGINT AS observations, objs::BIGINT AS objects
-FROM rep LEFT JOIN i ON i.run_id = rep.run_id LEFT JOIN c ON c.run_id = rep.run_id""")
+FROM rep LEFT JOIN i ON i.run_id = rep.run_id LEFT JOIN c ON c.run_id = rep.run_id LEFT JOIN k ON k.run_id = rep.run_id""")
 def report_metrics(v):
-    return SM.report_metrics(v.reports(), v.report_images(), v.clusters())
+    return SM.report_metrics(v.reports(), v.report_images(), v.clusters(), _report_counts(v))
 
 
 def _errors(v):

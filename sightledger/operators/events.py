@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sightledger.functions.timing import stage_percent
 from sightledger.operators.clustering import connected_components
 from sightledger.schema import TERMINAL_MESSAGES
-from sightledger.session import distributed_row_number
+from sightledger.session import distributed_row_number, materialize
 
 # Sequences are dense per run, so a block holds at most this many events of one run.
 SEQUENCE_BLOCK = 65_536
@@ -100,8 +100,13 @@ def image_state_merge(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Coalesce image rows that share an input path or a source id; later values win.
 
     rows: run_id, sequence (report rows after all events), input_path, source_id, fields.
-    Aliases are resolved as connected components of (path, source) pairs of each run.
+    A status is the first one filled of status and work_status (where given); an empty one
+    never replaces an earlier one. A path with one source, and a source with one path, are
+    the same image; only pairs in conflict are resolved as connected components.
     """
+    if "status" in fields:
+        filled = [F.nullif(F.trim(c), F.lit("")) for c in ("status", "work_status") if c in rows.columns]
+        rows = rows.withColumn("status", F.coalesce(*filled))
     path = F.replace(F.trim(F.coalesce("input_path", F.lit(""))), F.lit("\\"), F.lit("/"))
     source = F.trim(F.coalesce("source_id", F.lit("")))
     df = rows.withColumn("_p", F.when(path != "", F.concat("run_id", F.lit("|input:"), path)))
@@ -109,7 +114,15 @@ def image_state_merge(rows: DataFrame, fields: list[str]) -> DataFrame:
     df = df.filter(F.coalesce("_p", "_s").isNotNull())
     aliases = df.filter(F.col("_p").isNotNull() & F.col("_s").isNotNull()).select(
         F.col("_p").alias("a"), F.col("_s").alias("b")).distinct()
-    comp = connected_components(aliases)
+    paths = aliases.groupBy("a").agg(F.count(F.lit(1)).alias("sources"))
+    sources = aliases.groupBy("b").agg(F.count(F.lit(1)).alias("paths"))
+    aliases = materialize(aliases.join(paths, "a").join(sources, "b"))
+    alone = (F.col("sources") == 1) & (F.col("paths") == 1)
+    pairs = aliases.filter(alone).withColumn("component", F.least("a", "b"))
+    comp = pairs.select(F.col("a").alias("node"), "component").unionByName(pairs.select(F.col("b").alias("node"), "component"))
+    tangled = aliases.filter(~alone).select("a", "b")
+    if not tangled.isEmpty():
+        comp = comp.unionByName(connected_components(tangled).select("node", "component"))
     key = F.coalesce("_p", "_s")
     merged = df.withColumn("node", key).join(comp, "node", "left").withColumn(
         "image_key", F.coalesce("component", "node"))
@@ -117,7 +130,7 @@ def image_state_merge(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def cluster_state_merge(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Fold cluster rows, last value per field wins; order by (member_count desc, id)."""
+    """Fold cluster rows, last value per field wins. A display sorts them by (member_count desc, id)."""
     merged = _latest_fields(rows.filter(F.coalesce("cluster_id", F.lit("")) != ""),
                             ["run_id", "cluster_id"], fields)
     return merged

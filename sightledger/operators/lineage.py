@@ -18,7 +18,7 @@ def latest_attempt(decisions: DataFrame) -> DataFrame:
 def object_timeline(
     observations: DataFrame, sources: DataFrame, proposals: DataFrame, decisions: DataFrame
 ) -> DataFrame:
-    """All observations with their source, candidate and decision, in timeline order."""
+    """All observations with their source, candidate and decision; `created_at`, then id, is the order of a timeline."""
     s = sources.select(F.col("id").alias("source_id"), F.col("relative_path").alias("source_path"))
     p = proposals.select(F.col("id").alias("proposal_id"), F.col("score").alias("candidate_score"))
     d = decisions.select(

@@ -103,39 +103,76 @@ def _image_sums(images: DataFrame, raw: Column) -> DataFrame:
 _RAW = ("raw_candidates", "grid_points", "above_confidence_threshold_candidates")
 
 
-def result_summary(reports: DataFrame, images: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Roll-up per run from report sections; the raw count skips zeros."""
+REVIEW_NOTICE = "A passed structure report says nothing about semantic accuracy: inspect candidates, clusters, reviews, decisions and timelines."
+
+
+def report_counts(sources: DataFrame, proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(run_id, kind, status, n): sources, proposals and decisions of a run by status."""
+    of_source = sources.select(F.col("id").alias("source_id"), "run_id")
+    p = proposals.select(F.col("id").alias("proposal_id"), "source_id", "status").join(of_source, "source_id")
+    d = decisions.select("proposal_id", "decision").join(p.select("proposal_id", "run_id"), "proposal_id")
+    return union_all([
+        df.groupBy("run_id", F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        for kind, df, status in (("source", sources, "status"), ("proposal", p, "status"), ("decision", d, "decision"))])
+
+
+def _counts_by_run(counts: DataFrame) -> DataFrame:
+    """One map status -> n per kind, and the number of sources; a run has a handful of statuses."""
+    def as_map(kind):
+        entries = F.collect_list(F.when(F.col("kind") == kind, F.struct("status", "n")))
+        return F.map_from_entries(F.array_sort(entries)).alias(f"{kind}_counts")
+
+    return counts.filter("status is not null").groupBy("run_id").agg(
+        *[as_map(k) for k in ("source", "proposal", "decision")],
+        F.sum(F.when(F.col("kind") == "source", F.col("n")).otherwise(0)).alias("unique_sources"))
+
+
+def result_summary(reports: DataFrame, images: DataFrame, clusters: DataFrame, counts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Roll-up per run from report sections; the raw count skips zeros.
+
+    counts: see `report_counts`; errors: see `error_digest`. Counts by status are maps.
+    """
     img = _image_sums(images, _truthy(*[F.col(c) for c in _RAW]))
     clu = clusters.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("reviewed")).alias("reviewed_clusters"))
-    df = reports.join(img, "run_id", "left").join(clu, "run_id", "left")
+    by_decision = clusters.filter(F.col("final_decision").isNotNull()).groupBy("run_id", F.col("final_decision").alias("status")).agg(
+        F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("cluster_counts"))
+    faults = error_digest(errors).groupBy("run_id").agg(F.count(F.lit(1)).alias("error_count"))
+    df = reports
+    for part in (img, clu, by_decision, faults, _counts_by_run(counts)):
+        df = df.join(part, "run_id", "left")
     return df.select(
-        "run_id", "status", _zero("input_files").alias("input_files"),
+        "run_id", "status", _zero("input_files").alias("input_files"), _zero("unique_sources").alias("unique_sources"),
         _zero("raw_candidates").alias("raw_candidates"), _zero("kept").alias("kept"),
         _zero("filtered").alias("filtered"), _zero("clusters").alias("clusters"),
         _zero("reviewed_clusters").alias("reviewed_clusters"),
         _zero("duplicate_sources_skipped").alias("duplicate_sources_skipped"),
         _zero("observations_added").alias("observations_added"),
         _zero("active_objects_total").alias("active_objects_total"),
-        F.lit(True).alias("manual_review_required"),
+        "source_counts", "proposal_counts", "decision_counts", "cluster_counts",
+        _zero("error_count").alias("error_count"),
+        F.lit(True).alias("manual_review_required"), F.lit(REVIEW_NOTICE).alias("review_notice"),
     )
 
 
-def report_metrics(reports: DataFrame, images: DataFrame, clusters: DataFrame) -> DataFrame:
+def report_metrics(reports: DataFrame, images: DataFrame, clusters: DataFrame, counts: DataFrame) -> DataFrame:
     """The dashboard's twin of `result_summary`: the raw count keeps an explicit zero."""
     img = _image_sums(images, _nullish(*[F.col(c) for c in _RAW]))
     outcome = ("new", "existing", "ignored", "uncertain", "failed")
     clu = clusters.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("reviewed")).alias("reviewed_clusters"),
         *[F.count_if(F.col("final_decision") == o).alias(f"{o}_clusters") for o in outcome])
-    df = reports.join(img, "run_id", "left").join(clu, "run_id", "left")
+    df = reports.join(img, "run_id", "left").join(clu, "run_id", "left").join(_counts_by_run(counts), "run_id", "left")
+    of = lambda kind, status: F.coalesce(F.try_element_at(f"{kind}_counts", F.lit(status)), F.lit(0))
     return df.select(
-        "run_id", _zero("input_files").alias("inputs"),
+        "run_id", _zero("input_files").alias("inputs"), _zero("unique_sources").alias("unique_sources"),
         F.coalesce("duplicate_sources_skipped", _zero("duplicate_images")).alias("duplicates"),
         _zero("raw_candidates").alias("raw_candidates"), _zero("kept").alias("kept"),
-        _zero("filtered").alias("script_filtered"), _zero("clusters").alias("clusters"),
-        _zero("reviewed_clusters").alias("reviewed_clusters"),
+        _zero("filtered").alias("script_filtered"), of("proposal", "filtered").alias("filtered"),
+        _zero("clusters").alias("clusters"), _zero("reviewed_clusters").alias("reviewed_clusters"),
         *[_zero(f"{o}_clusters").alias(f"{o}_clusters") for o in outcome],
+        *[of("decision", o).alias(f"{o}_count") for o in outcome[:4]], of("proposal", "failed").alias("failed_proposals"),
         _zero("observations_added").alias("observations"), _zero("active_objects_total").alias("objects"),
     )
 

@@ -114,8 +114,14 @@ def test_raw_counts_differ_on_zero(spark):
                                    "above_confidence_threshold_candidates int, kept int, filtered int, duplicate boolean")
     rep = spark.createDataFrame([("r", "passed", None, 1, 1)], "run_id string, status string, duplicate_sources_skipped long, observations_added long, active_objects_total long")
     clu = spark.createDataFrame([], "run_id string, reviewed boolean, final_decision string")
-    assert SM.result_summary(rep, images, clu).first().raw_candidates == 5
-    assert SM.report_metrics(rep, images, clu).first().raw_candidates == 0
+    counts = spark.createDataFrame([(r, k, s, n) for r in [rep.first().run_id] for k, s, n in (
+        ("source", "completed", 3), ("source", "failed", 1), ("proposal", "filtered", 7), ("decision", "new", 2))],
+        "run_id string, kind string, status string, n long")
+    errors = spark.createDataFrame([], "run_id string, section int, item long, field int, position long, source string, type string, message string")
+    out = SM.result_summary(rep, images, clu, counts, errors).first()
+    assert out.raw_candidates == 5 and out.unique_sources == 4 and out.source_counts == {"completed": 3, "failed": 1} and out.error_count == 0
+    out = SM.report_metrics(rep, images, clu, counts).first()
+    assert (out.raw_candidates, out.filtered, out.new_count, out.failed_proposals) == (0, 7, 2, 0)
 
 
 def test_upload_name_rules(spark):
