@@ -53,30 +53,30 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
 
     waiting, done, low = rows, [], 0
     while low < BITS and not small.isEmpty():
-        directory = _directory(small, low, limit)
+        directory = _directory(small, low, limit).select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"))
         cell = F.shiftright("__h", BITS - low - STRIDE)
         # The first directory has 2^STRIDE rows at most; later ones grow with the data and are not broadcast.
         known = F.broadcast(directory) if low == 0 else directory
-        waiting = waiting.withColumn("cell", cell).join(known, "cell").drop("cell")
-        done.append(waiting.filter("depth is not null"))
-        waiting = waiting.filter("depth is null").drop("depth")
-        open_cells = directory.filter("depth is null").select("cell")
+        waiting = waiting.withColumn("__cell", cell).join(known, "__cell").drop("__cell")
+        done.append(waiting.filter("__depth is not null"))
+        waiting = waiting.filter("__depth is null").drop("__depth")
+        open_cells = directory.filter("__depth is null").select("__cell")
         if open_cells.isEmpty():
             small = small.limit(0)
             break
-        small = B.table(small.withColumn("cell", cell).join(open_cells, "cell", "left_semi").drop("cell"))
+        small = B.table(small.withColumn("__cell", cell).join(open_cells, "__cell", "left_semi").drop("__cell"))
         low += STRIDE
     out = [d.withColumn("page", F.lit(0).cast("long")) for d in done]
     if not small.isEmpty():
-        out.append(_pages(waiting, limit, text).withColumn("depth", F.lit(BITS)))
+        out.append(_pages(waiting, limit, text).withColumn("__depth", F.lit(BITS)))
     if not out:
-        out.append(rows.withColumn("depth", F.lit(0)).withColumn("page", F.lit(0).cast("long")))
+        out.append(rows.withColumn("__depth", F.lit(0)).withColumn("page", F.lit(0).cast("long")))
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
     return result.select(
-        *[F.col(f"`{c}`") for c in names], F.col("__bytes").alias("n_bytes"), F.col("depth").cast("int").alias("local_depth"),
-        F.concat(F.lit("b"), F.expr(f"substring(lpad(bin(__h), {BITS}, '0'), 1, depth)")).alias("shard"), "page")
+        *[F.col(f"`{c}`") for c in names], F.col("__bytes").alias("n_bytes"), F.col("__depth").cast("int").alias("local_depth"),
+        F.concat(F.lit("b"), F.expr(f"substring(lpad(bin(__h), {BITS}, '0'), 1, __depth)")).alias("shard"), "page")
 
 
 def _pages(rows: DataFrame, limit: int, text: str) -> DataFrame:

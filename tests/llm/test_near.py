@@ -199,7 +199,9 @@ def test_order_counts():
 def test_sharding(spark):
     rows = [(i, "y" * (i * 37 % 900)) for i in range(400)] + [(None, "n"), (None, None), (7, "z" * 5000), (8, "")]
     rows += [(77, "same")] * 300 + [(78, "s" * (i % 50)) for i in range(100)]
-    out = sharding.assign(frame(spark, rows), 2000)
+    clash = frame(spark, rows).withColumn("cell", F.lit("user's")).withColumn("depth", F.lit(1.5)).withColumn("page", F.lit("old"))
+    out = sharding.assign(clash, 2000)
+    assert out.select("cell", "depth").distinct().collect() == [("user's", 1.5)]
     got = out.collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
     size, n, leaves = Counter(), Counter(), {}
