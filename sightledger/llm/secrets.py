@@ -110,8 +110,34 @@ def weak_label(value: str, before: str) -> int:
     return int(bool(_FORMATS.fullmatch(value)) or bool(assigned) and len(value) >= 12 and any(c.isdigit() for c in value))
 
 
+def _pieces(word: str) -> list[tuple[int, int]]:
+    """(start, end) of every value in a word, in order, each once.
+
+    Values end at '=', ':', '&' and '@'. One with '@' is taken whole too, as is what follows the last '=' or ':'; one
+    behind such a sign that is too short goes on to the next, and a fixed format counts wherever it stands.
+    """
+    out = {m.span() for m in _FORMATS.finditer(word) if not (word[max(m.start() - 1, 0):m.start()] + word[m.end():m.end() + 1]).isalnum()}
+    cut = max(word.rfind("=", 0, -8), word.rfind(":", 0, -8)) + 1
+    found = [m.span() for m in _VALUE.finditer(word, cut)]
+    for m in _VALUE.finditer(word):
+        for signs in ("=", "=@"):
+            ends = [i for i in range(*m.span()) if word[i] in signs] + [m.end()]
+            for k, (a, b) in enumerate(zip([m.start(), *(e + 1 for e in ends)], ends)):
+                if b - a < 8 and a and word[a - 1] in "=:&@":
+                    b = next((e for e in ends[k:] if e - a >= 8), b)
+                found.append((a, b))
+    for a, b in found:
+        b = a + len(word[a:b].rstrip(".-=~"))
+        if b - a >= 8:
+            out.add((a, b))
+    return sorted(out)
+
+
 def _candidates(data, offsets):
-    """(row, start, end) in bytes of runs inside words with digits; the words are found on the byte array."""
+    """(row, start, end) in bytes of runs inside words with digits; the words are found on the byte array.
+
+    Runs can overlap: a value and a part of it.
+    """
     starts, ends, first = B.spans(data, offsets)
     if not len(starts):
         return
@@ -119,13 +145,10 @@ def _candidates(data, offsets):
     hit = np.flatnonzero((digits[ends] - digits[starts] >= LEAST_DIGITS) & (ends - starts >= LEAST_BYTES))
     rows = np.searchsorted(first, hit, "right") - 1
     for i, row in zip(hit.tolist(), rows.tolist()):
-        a, b = int(starts[i]), int(ends[i])
-        word = data[a:b].tobytes().decode("latin-1")
-        cut = max(word.rfind("=", 0, -8), word.rfind(":", 0, -8)) + 1
-        for m in _VALUE.finditer(word, cut):
-            value = m.group().rstrip(".-=~")
-            if len(value) >= 8 and sum(c.isdigit() for c in value) >= LEAST_DIGITS:
-                yield row, a + m.start(), a + m.start() + len(value)
+        at = int(starts[i])
+        for a, b in _pieces(data[at:ends[i]].tobytes().decode("latin-1")):
+            if digits[at + b] - digits[at + a] >= LEAST_DIGITS:
+                yield row, at + a, at + b
 
 
 _CONTEXT = 48
@@ -244,7 +267,7 @@ def scan(docs: DataFrame, language: Language, forest: Forest, path: str = "sourc
     """One row per candidate: doc_id, start and end (code points), value, score, is_secret.
 
     Columns doc_id, text and, if there is one, the path column; others are ignored. Null and empty texts have no
-    candidate; repeated rows give their findings each; an empty table gives none.
+    candidate; repeated rows give their findings each; an empty table gives none. Candidates of a row can overlap.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()),
                         ("score", pa.float64()), ("is_secret", pa.bool_())])
@@ -279,8 +302,10 @@ def redact(docs: DataFrame, language: Language, forest: Forest, path: str = "sou
                 for row, spans in cuts.items():
                     at, out = int(offsets[row]), []
                     for a, b in spans:
-                        out += [data[at:a].tobytes().decode(), mark]
-                        at = b
+                        # A value and a part of it give one mark.
+                        if a >= at and (a > at or not out):
+                            out += [data[at:a].tobytes().decode(), mark]
+                        at = max(at, b)
                     texts[row] = "".join(out) + data[at:offsets[row + 1]].tobytes().decode()
                 column = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
