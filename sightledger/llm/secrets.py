@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from sightledger.llm import base as B
 
 SLOT_BITS = 18            # cells of the word counts
-LEAST_DIGITS, LEAST_BYTES = 2, 12
+LEAST = 8                 # bytes of a candidate
 MAX_FINDINGS = 20_000     # labelled findings a forest is fitted on, at most
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
@@ -33,6 +33,19 @@ _OTHER = np.ones(256, bool)
 _OTHER[65:91] = _OTHER[97:123] = False
 _OTHER[128:] = False
 
+# Letters (either case) and digits as bits; what else a word holds does not count.
+_BIT = np.zeros(256, np.uint64)
+for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
+    _BIT[[_c, ord(chr(_c).upper())]] = np.uint64(1 << _i)
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord("="), ord(":")]] = True
+# The last three letters of the words of _KEY.
+_KEY_ENDS = np.array([int.from_bytes(w.encode()) for w in ("ass", "ord", "swd", "ase", "pwd", "ret", "ken", "key", "ial", "uth")])
+
 _VALUE = re.compile(r"[A-Za-z0-9+/_=.~@-]{8,}")
 _KEY = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\W{0,3}$")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?$")
@@ -107,7 +120,7 @@ def features(value: str, before: str, after: str, path: str, language: Language)
 def weak_label(value: str, before: str) -> int:
     """A finding's label where nobody labelled it: known formats, and long values assigned to a telling name."""
     assigned = _ASSIGN.search(before) and _KEY.search(_ASSIGN.sub("", before).rstrip())
-    return int(bool(_FORMATS.fullmatch(value)) or bool(assigned) and len(value) >= 12 and any(c.isdigit() for c in value))
+    return int(bool(_FORMATS.fullmatch(value)) or bool(assigned) and len(value) >= LEAST and any(c.isdigit() for c in value))
 
 
 def _pieces(word: str) -> list[tuple[int, int]]:
@@ -123,32 +136,70 @@ def _pieces(word: str) -> list[tuple[int, int]]:
         for signs in ("=", "=@"):
             ends = [i for i in range(*m.span()) if word[i] in signs] + [m.end()]
             for k, (a, b) in enumerate(zip([m.start(), *(e + 1 for e in ends)], ends)):
-                if b - a < 8 and a and word[a - 1] in "=:&@":
-                    b = next((e for e in ends[k:] if e - a >= 8), b)
+                if b - a < LEAST and a and word[a - 1] in "=:&@":
+                    b = next((e for e in ends[k:] if e - a >= LEAST), b)
                 found.append((a, b))
     for a, b in found:
         b = a + len(word[a:b].rstrip(".-=~"))
-        if b - a >= 8:
+        if b - a >= LEAST:
             out.add((a, b))
     return sorted(out)
 
 
+def _count(flags):
+    return np.append(0, np.cumsum(flags))
+
+
+def _named(data, starts, ends, first):
+    """Which words follow a word of the same row that ends in '=' or ':' (maybe with a quote) or looks like a telling name."""
+    out = np.zeros(len(starts), bool)
+    padded = np.append(np.zeros(6, np.uint8), data)   # byte i is at i + 6
+    end = ends[:-1] + 6
+    last, next_ = padded[end - 1], padded[end - 2]
+    named = _SIGN[last] | (np.isin(last, [34, 39]) & _SIGN[next_])
+    for trailing in range(3):
+        # Up to two signs after the name.
+        at = end - trailing
+        low = [padded[at - k].astype(np.int64) | 32 for k in (3, 2, 1)]
+        tail = np.isin(low[0] << 16 | low[1] << 8 | low[2], _KEY_ENDS)
+        named |= tail & (ends[:-1] - starts[:-1] >= 3 + trailing)
+    out[1:] = named
+    heads = first[:-1]
+    out[heads[heads < len(out)]] = False
+    return out
+
+
+def _worth(data, starts, ends, first):
+    """Words that the forest must see: with digits and letters or many digits, of mixed case, named or assigned, or with
+    many different letters. Shorter words cannot hold a candidate."""
+    size = ends - starts
+    digits, upper, lower, signs = (_count(x) for x in (_DIGIT[data], _UPPER[data], _LOWER[data], _SIGN[data]))
+    turns = _count(np.append(_LOWER[data[:-1]] & _UPPER[data[1:]], False))
+    n_digits, n_upper, n_lower = (x[ends] - x[starts] for x in (digits, upper, lower))
+    bits = np.bitwise_or.reduceat(np.append(_BIT[data], np.uint64(0)), np.column_stack([starts, ends]).ravel())[::2]
+    kinds = np.bitwise_count(bits).astype(np.int64)
+    keep = (n_digits > 0) & (n_upper + n_lower > 0) | (n_digits > 1) & (size >= 12)
+    keep |= (n_lower > 0) & ((n_upper > 1) | (turns[ends - 1] > turns[starts]))
+    keep |= (kinds >= 10) | (size >= 15) & (kinds >= 6)
+    keep |= signs[np.maximum(ends - LEAST, starts)] > signs[starts]
+    keep |= _named(data, starts, ends, first)
+    return np.flatnonzero(keep & (size >= LEAST))
+
+
 def _candidates(data, offsets):
-    """(row, start, end) in bytes of runs inside words with digits; the words are found on the byte array.
+    """(row, start, end) in bytes of runs inside words worth a look; the words are found on the byte array.
 
     Runs can overlap: a value and a part of it.
     """
     starts, ends, first = B.spans(data, offsets)
     if not len(starts):
         return
-    digits = np.append(0, np.cumsum(_DIGIT[data]))
-    hit = np.flatnonzero((digits[ends] - digits[starts] >= LEAST_DIGITS) & (ends - starts >= LEAST_BYTES))
+    hit = _worth(data, starts, ends, first)
     rows = np.searchsorted(first, hit, "right") - 1
     for i, row in zip(hit.tolist(), rows.tolist()):
         at = int(starts[i])
         for a, b in _pieces(data[at:ends[i]].tobytes().decode("latin-1")):
-            if digits[at + b] - digits[at + a] >= LEAST_DIGITS:
-                yield row, at + a, at + b
+            yield row, at + a, at + b
 
 
 _CONTEXT = 48

@@ -138,12 +138,29 @@ def test_candidates_in_the_middle_of_words():
     assert "p4ss=w0rd99" in _values("a=p4ss=w0rd99&next=page")
 
 
+def test_candidates_with_few_digits():
+    rng = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for pool, size, head in ((signs, 20, ""), (signs[:26] + signs[52:], 16, "AKIA"), (signs[26:52], 24, "")):
+        for _ in range(300):
+            key = head + "".join(rng.choice(pool) for _ in range(size))
+            assert key in _values(f"so the key {key} is here")
+    for text, value in (("password: hunter22 x", "hunter22"), ("password hunterab x", "hunterab"), ("a (Secret) letmeinx x", "letmeinx"),
+                        ('token = "swordfish" x', "swordfish"), ("passphrase=correct-horse-battery-staple", "correct-horse-battery-staple"),
+                        ("use hunter22 now", "hunter22"), ("use PassWord now", "PassWord"), ("use qzxvkjwpbf now", "qzxvkjwpbf")):
+        assert value in _values(text)
+    assert not _values("Without ordinary password words, nothing happens.") - {"ordinary"} and not _values("x" * 50_000)
+    # A name in another row names nothing.
+    data = np.frombuffer(b"token:swordfishes", np.uint8)
+    assert list(secrets._candidates(data[:15], np.array([0, 6, 15]))) == []
+
+
 def test_overlapping_secrets_give_one_mark(spark):
     always = secrets.Forest("Tree 0\nPredict: 1.0")
     language = secrets.Language(np.zeros((256, 256), np.float32), np.zeros(1 << secrets.SLOT_BITS, bool))
-    text = f"a postgres://app:S3cr3tPassw0rd99@db17.internal55:5432/production b token={KEYED} c"
+    text = f"a pg://app:S3cr3tPassw0rd99@db17.internal55:5432/production b token={KEYED} c"
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert secrets.redact(frame, language, always).first().text == "a postgres://app:[SECRET]:[SECRET] b token=[SECRET] c"
+    assert secrets.redact(frame, language, always).first().text == "a pg://app:[SECRET]:[SECRET] b token=[SECRET] c"
 
 
 def brute_neighbours(rows, queries, k):
