@@ -9,6 +9,7 @@ forest; they are scored inside the scan, so texts are never joined or shuffled.
 from __future__ import annotations
 
 import math
+import random
 import re
 from dataclasses import dataclass
 
@@ -49,7 +50,13 @@ _KEY_ENDS = np.array([int.from_bytes(w.encode()) for w in ("ass", "ord", "swd",
 _VALUE = re.compile(r"[A-Za-z0-9+/_=.~@-]{8,}")
 _KEY = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\W{0,3}$")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?$")
-_FORMATS = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}")
+_FORMATS = re.compile(
+    r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}|"
+    r"xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|"
+    r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+_PLACEHOLDER = re.compile(r"(?i)change.?me|place.?holder|example|dummy|sample|redacted|replace|your[_-]|my[_-]?(pass|secret|token|key)|"
+                          r"insert|foobar|todo|^x{4}|^(?:pass(?:word)?|secret|token)?0?1234567?8?9?0?$")
+_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
 _TEST_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|doc")
 _WORD = re.compile(r"[A-Za-z]{3,}")
 
@@ -117,10 +124,20 @@ def features(value: str, before: str, after: str, path: str, language: Language)
             len(before.split()), len(after.split()), float(bool(_TEST_PATH.search(path))), len(path)]
 
 
-def weak_label(value: str, before: str) -> int:
-    """A finding's label where nobody labelled it: known formats, and long values assigned to a telling name."""
-    assigned = _ASSIGN.search(before) and _KEY.search(_ASSIGN.sub("", before).rstrip())
-    return int(bool(_FORMATS.fullmatch(value)) or bool(assigned) and len(value) >= LEAST and any(c.isdigit() for c in value))
+def weak_label(value: str, before: str, path: str = "") -> int | None:
+    """A finding's label where nobody labelled it; None if there is no evidence.
+
+    Secrets are fixed formats and values with digits assigned to a telling name, unless the path is a test's.
+    Placeholders are none. Opaque values without a name, and named words, can be either and train nothing.
+    """
+    if _FORMATS.fullmatch(value):
+        return 1
+    if _PLACEHOLDER.search(value) or len(set(value)) < 5:
+        return 0
+    if _ASSIGN.search(before) and _KEY.search(_ASSIGN.sub("", before).rstrip()):
+        return 1 if any(c.isdigit() for c in value) and not _TEST_PATH.search(path) else None
+    letters = any(c.isalpha() for c in value)
+    return None if letters and _OPAQUE.fullmatch(value) and len(set(value)) >= 10 else 0
 
 
 def _pieces(word: str) -> list[tuple[int, int]]:
@@ -136,7 +153,7 @@ def _pieces(word: str) -> list[tuple[int, int]]:
         for signs in ("=", "=@"):
             ends = [i for i in range(*m.span()) if word[i] in signs] + [m.end()]
             for k, (a, b) in enumerate(zip([m.start(), *(e + 1 for e in ends)], ends)):
-                if b - a < LEAST and a and word[a - 1] in "=:&@":
+                if b - a < LEAST and a and word[a - 1] in "=:@":
                     b = next((e for e in ends[k:] if e - a >= LEAST), b)
                 found.append((a, b))
     for a, b in found:
@@ -212,7 +229,11 @@ def _around(data, offsets, row, a, b):
 
 
 def findings(docs: DataFrame, language: Language, path: str = "source") -> DataFrame:
-    """Candidates for training: doc_id, value, before, after, features and a weak label."""
+    """Candidates with evidence for training: doc_id, value, features and a weak label.
+
+    A secret is given twice, the second time without its neighbours: the name that labels it is also a feature,
+    and the forest must know such a value without it.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("value", pa.string()), ("features", pa.list_(pa.float64())), ("label", pa.int32())])
 
     def run(batches):
@@ -221,7 +242,12 @@ def findings(docs: DataFrame, language: Language, path: str = "source") -> DataF
             out = []
             for row, a, b in _candidates(data, offsets):
                 value, before, after = _around(data, offsets, row, a, b)
-                out.append((docs_[row], value, features(value, before, after, paths[row], language), weak_label(value, before)))
+                label = weak_label(value, before, paths[row])
+                if label is None:
+                    continue
+                out.append((docs_[row], value, features(value, before, after, paths[row], language), label))
+                if label:
+                    out.append((docs_[row], value, features(value, "", "", paths[row], language), label))
             if out:
                 yield B.record(schema, *zip(*out))
 
@@ -229,6 +255,63 @@ def findings(docs: DataFrame, language: Language, path: str = "source") -> DataF
         run, "doc_id long, value string, features array<double>, label int")
 
 
+MADE_DOCS = 600           # documents that lend their words to made findings, about
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_POOLS = ("0123456789abcdef", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789-_", _LETTERS + "0123456789",
+          _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper(), _LETTERS)
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth")
+_PLAIN_NAMES = ("page", "lang", "user", "host", "ref", "title", "path", "version")
+_FRAMES = (('{} = "', '"'), ("{}=", ""), ("{}: ", ""), ('{{"{}":"', '","id":"a"}}'), ("https://a.io/b?{}=", "&next=c"), ("{} ", ""))
+
+
+def made(docs: DataFrame, language: Language, path: str = "source") -> DataFrame:
+    """Findings whose label is known because they are made: random keys of many shapes between real words, with and
+    without a name, as secrets; real words behind any name, some with a number, as harmless. Columns as in ``findings``.
+
+    A corpus shows the forest only the shapes that it holds. About MADE_DOCS documents are used, whatever their number.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("value", pa.string()), ("features", pa.list_(pa.float64())), ("label", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, where in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "path"))):
+                words = (text or "").split()
+                rng = random.Random(doc_id)
+                plain = [w for w in words if len(w) >= LEAST and w.isalpha()]
+                for n in range(16 if words else 0):
+                    at = rng.randrange(len(words))
+                    before, after = " ".join([*words[max(0, at - 12):at], ""]), " ".join(["", *words[at:at + 12]])
+                    label = int(n < 8)
+                    named = n > 1
+                    pool = rng.choice(_POOLS if named else _POOLS[:5])
+                    if label:
+                        value = "".join(rng.choice(pool) for _ in range(rng.randrange(LEAST if named else 20, 49)))
+                        if n > 4:
+                            value = value[:rng.randrange(LEAST, 17)]
+                    elif plain:
+                        value = rng.choice(plain) + rng.choice(("", "", "1", "-2", "27") if n > 11 else ("",))
+                        if n == 14:
+                            value = "-".join([rng.choice(plain)[:rng.randrange(2, 9)], rng.choice(plain)[:rng.randrange(3, 9)], str(rng.randrange(30))])
+                        if n == 15:
+                            value = f"//{rng.choice(plain)[:rng.randrange(1, 9)]}.{rng.choice(('io', 'com', 'org'))}/{rng.choice(plain)}"
+                    else:
+                        continue
+                    if n == 15:
+                        before += "https:"
+                    elif named:
+                        head, tail = rng.choice(_FRAMES)
+                        before, after = before + head.format(rng.choice(_PLAIN_NAMES if n > 11 else _NAMES)), tail + after
+                    out.append((doc_id, value, features(value, before[-_CONTEXT:], after[:_CONTEXT], where, language), label))
+            if out:
+                yield B.record(schema, *zip(*out))
+
+    share = min(1.0, MADE_DOCS / max(docs.count(), 1))
+    some = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) <= int(share * (1 << 30))))
+    return some.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _path(docs, path)).mapInArrow(
+        run, "doc_id long, value string, features array<double>, label int")
+
+
 def _path(docs, path):
     return F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path") if path in docs.columns else F.lit("").alias("path")
 
@@ -282,13 +365,24 @@ class Forest:
 
 
 def train(labelled: DataFrame, most: int = MAX_FINDINGS) -> Forest:
-    """Fit on at most ``most`` labelled findings (features, label), chosen by hash; one class alone votes for itself."""
+    """Fit on at most ``most`` labelled findings (features, label), half of each class, chosen by hash; one class alone
+    votes for itself. Null labels are left out."""
+    labelled = B.table(labelled.filter("label is not null").select(
+        F.xxhash64("value", "doc_id").alias("place"), array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")))
+    rows = None
+    for r in labelled.groupBy("label").count().collect():
+        # The lowest hashes, a little more than are needed: what is sorted does not grow with the table.
+        share = min(1.0, (most // 2 * 1.05 + 500) / r["count"])
+        some = labelled.filter((F.col("label") == r.label) & (F.pmod("place", F.lit(1 << 30)) <= int(share * (1 << 30))))
+        some = some.orderBy(F.pmod("place", F.lit(1 << 30)), "place").limit(most // 2)
+        rows = some if rows is None else rows.unionByName(some)
+    if rows is None:
+        return Forest("Tree 0\nPredict: 0.0")
     # Rare secrets count as much as the rest.
-    rows = labelled.orderBy(F.xxhash64("value", "doc_id"), "doc_id").limit(most)
-    rows = B.table(rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")))
+    rows = B.table(rows.select("features", "label"))
     seen = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
-        return Forest(f"Tree 0\nPredict: {max(seen, default=0.0)}")
+        return Forest(f"Tree 0\nPredict: {max(seen)}")
     weight = F.when(F.col("label") == 1, seen[0.0] / seen[1.0]).otherwise(1.0)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight", featureSubsetStrategy="sqrt").fit(
         rows.withColumn("weight", weight))
@@ -367,6 +461,9 @@ def redact(docs: DataFrame, language: Language, forest: Forest, path: str = "sou
 
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> tuple[Language, Forest]:
-    """Language of all texts, and a forest from labelled findings (weak labels of these documents if none are given)."""
+    """Language of all texts, and a forest from labelled findings (weak labels of these documents and made findings if
+    none are given)."""
     language = learn_language(docs)
-    return language, train(labelled if labelled is not None else findings(docs, language, path))
+    if labelled is None:
+        labelled = findings(docs, language, path).unionByName(made(docs, language, path))
+    return language, train(labelled)

@@ -155,6 +155,49 @@ def test_candidates_with_few_digits():
     assert list(secrets._candidates(data[:15], np.array([0, 6, 15]))) == []
 
 
+def test_weak_labels():
+    key, name = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "a password = \""
+    assert secrets.weak_label("hunter22", name) == 1 and secrets.weak_label(key, name) == 1
+    assert secrets.weak_label("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27uhb", "") == 1
+    assert secrets.weak_label(key, "see ") is None and secrets.weak_label(key, name, "tests/a.py") is None
+    assert [secrets.weak_label(v, name) for v in ("changeme1234", "your_password_1", "xxxxxxxx1")] == [0, 0, 0]
+    assert [secrets.weak_label(v, "see ") for v in ("4041894974608795", "bosbt.42@mail8.example.com", "Hello-World")] == [0, 0, 0]
+
+
+def test_rare_class_is_sampled(spark):
+    rows = [(i, f"v{i}", [float(i == 77)], int(i == 77)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, value string, features array<double>, label int")
+    forest = secrets.train(frame, 40)
+    assert forest.score(np.array([[0.0], [1.0]])).round(1).tolist()[0] < 0.5 <= forest.score(np.array([[1.0]]))[0]
+
+
+def planted(rng):
+    """kind -> (text, secret), one of each kind."""
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    upper, lower, digits, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    kinds = {"AKIA": ("{}", "AKIA" + some(upper + digits, 16)), "named hex": ('token = "{}"', some(hexes, 40)), "bare hex": ("{}", some(hexes, 40)),
+             "bare base62": ("{}", some(upper + lower + digits, 40)), "short named": ("password: {}", some(lower, 6) + some(digits, 2)),
+             "named letters": ('secret = "{}"', some(lower, 14)), "in JSON": ('{{"api_key":"{}","region":"eu-central-1"}}', some(upper + lower + digits, 32)),
+             "in a query": ("https://x.io/cb?token={}&next=dashboard9", some(hexes, 32))}
+    return {k: (t.format(v), v) for k, (t, v) in kinds.items()}
+
+
+def test_planted_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    language, forest = secrets.fit(docs.filter(~toxicity.held_out()))
+    rng, rows, want = random.Random(8), [], {}
+    for r in docs.filter(toxicity.held_out() & F.col("text").isNotNull() & ~F.col("text").contains("token = ")).select("doc_id", "text").orderBy("doc_id").limit(200).collect():
+        for n, (kind, (text, value)) in enumerate(planted(rng).items()):
+            i = r.doc_id * 10 + n
+            rows.append((i, f"{r.text[:300]} {text} {r.text[300:600]}", "src"))
+            want[i] = kind, value
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), language, forest).filter("is_secret").collect()
+    hit = {r.doc_id for r in got if r.value == want[r.doc_id][1]}
+    right = sum(want[r.doc_id][1] in r.value or r.value in want[r.doc_id][1] for r in got)
+    recall = {k: np.mean([i in hit for i in want if want[i][0] == k]) for k, _ in want.values()}
+    assert min(recall.values()) > 0.8 and right / len(got) > 0.9
+
+
 def test_overlapping_secrets_give_one_mark(spark):
     always = secrets.Forest("Tree 0\nPredict: 1.0")
     language = secrets.Language(np.zeros((256, 256), np.float32), np.zeros(1 << secrets.SLOT_BITS, bool))
