@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sightledger.llm import base as B, minhash, packing, secrets, substring, toxicity
 
 
+NEAR = 80  # percent of common five-word shingles from which a document is a near copy
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; all others stay as they are."""
     B.ready(spark)
@@ -17,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     B.ready(spark)
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

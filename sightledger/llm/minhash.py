@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +22,7 @@ from sightledger.llm import base as B
 SHINGLE = 5
 SIMILARITY = 85   # percent
 BANDS, ROWS = 40, 8  # a pair at 0.85 shares no band with probability 3e-6
+MISS, MOST_BANDS = 3.1e-6, 64
 CHUNK = 256
 ID_BITS = 25      # bits of the filter on document ids
 
@@ -27,6 +30,22 @@ _VALUES = B.byte_values(303, lower=True)
 _FN = np.random.default_rng(404).integers(1, 1 << 31, (BANDS * ROWS, 2), dtype=np.uint32)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows that miss a pair exactly at the threshold with probability MISS at most: 40 of 8 at 85, 54 of 7 at 80.
+
+    Of the shapes with at most MOST_BANDS bands, the one with the longest bands, so few other pairs meet.
+    """
+    for rows in range(ROWS, 0, -1):
+        hit = min((percent / 100) ** rows, 1 - 1e-9)
+        bands = max(1, math.ceil(math.log(MISS) / math.log1p(-hit))) if hit > 0 else MOST_BANDS
+        if bands <= MOST_BANDS or rows == 1:
+            return max(bands, BANDS), rows
+
+
+def _functions(n):
+    return _FN if n == len(_FN) else np.random.default_rng(404).integers(1, 1 << 31, (n, 2), dtype=np.uint32)
+
+
 def shingle_sets(data, offsets, k=SHINGLE):
     """Sorted distinct shingle hashes of all rows, one after another, and the start of each row's."""
     starts, ends, first = B.spans(data, offsets)
@@ -71,9 +90,12 @@ _SIG = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.
 _SIG_SQL = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"
 
 
-def _signatures(k):
+def _signatures(k, percent):
+    bands, width = bands_for(percent)
+    functions = _functions(bands * width)
+
     def run(batches):
-        weights = B.byte_values(505)[:ROWS]
+        weights = B.byte_values(505)[:width]
         for part, data, offsets in B.blocks(batches):
             sets, edge = shingle_sets(data, offsets, k)
             sizes = np.diff(edge)
@@ -82,10 +104,10 @@ def _signatures(k):
             if len(full):
                 sums[0, full] = np.add.reduceat(B.mix(sets), edge[:-1][full])
                 sums[1, full] = np.bitwise_xor.reduceat(B.mix(sets + np.uint64(77)), edge[:-1][full])
-            low = minima(sets, edge).astype(np.uint64).reshape(BANDS, ROWS, -1)
+            low = minima(sets, edge, functions).astype(np.uint64).reshape(bands, width, -1)
             keys = B.mix((low * weights[None, :, None]).sum(1, dtype=np.uint64)
-                         + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(B.GRAM_BASE))
-            held = np.append(0, np.cumsum(np.where(sizes > 0, BANDS, 0))).astype(np.int32)
+                         + np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(B.GRAM_BASE))
+            held = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(held), pa.array(keys[:, full].T.ravel().view(np.int64)))
             yield B.record(_SIG, part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
                            sizes, sums[0].view(np.int64), sums[1].view(np.int64), lists)
@@ -210,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, k: int = SHINGLE
     takes no part: its component_id is null and it is kept. An empty table gives none.
     """
     docs = docs.select("doc_id", "text")
-    signed = B.table(docs.mapInArrow(_signatures(k), _SIG_SQL))
+    signed = B.table(docs.mapInArrow(_signatures(k, percent), _SIG_SQL))
     shape = ["n_shingles", "s1", "s2"]
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = B.table(linked.groupBy(*shape).agg(F.min("doc_id").alias("class_id")))

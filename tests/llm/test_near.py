@@ -78,6 +78,39 @@ def test_near_duplicates(spark, near_rows, chunk, monkeypatch):
         assert (r.component_id, r.kept) == (comp[r.doc_id], comp[r.doc_id] == r.doc_id)
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for n in range(300):
+        origin = [f"v{rng.randrange(10 ** 6)}" for _ in range(120)]
+        copy = list(origin)
+        for at in (20, 60)[:1 + n % 2]:  # five or ten of 116 shingles change: similarity 0.917 or 0.841
+            copy[at] = "other"
+        if n % 3 == 0:
+            copy[100:101] = ["x", "y"]   # 0.84 and 0.78: some pairs below
+        rows += [(2 * n, " ".join(origin)), (2 * n + 1, " ".join(copy))]
+    sets, comp = brute_pairs(rows, 80)
+    assert sum(0.80 <= s < 0.85 for s in sets) >= 100 and sum(s < 0.80 for s in sets) >= 30
+    docs = frame(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == comp
+    assert minhash.bands_for(85) == (minhash.BANDS, minhash.ROWS)
+    for percent in (30, 50, 80, 85, 95):
+        bands, width = minhash.bands_for(percent)
+        assert (1 - (percent / 100) ** width) ** bands <= 4e-6
+
+
+def brute_pairs(rows, percent):
+    """Similarity of every pair (2n, 2n + 1), and the documents that stay."""
+    out, kept = [], set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        a, b = ({tuple(w[n:n + 5]) for n in range(len(w) - 4)} for w in (words(a), words(b)))
+        out.append(len(a & b) / len(a | b))
+        kept |= {i} if 100 * len(a & b) >= percent * len(a | b) else {i, j}
+    return out, kept
+
+
 def test_near_duplicates_null_ids_repeats_and_empty(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (2, "p q r s t u"), (3, "other")]
     got = Counter(tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect())
