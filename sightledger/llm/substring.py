@@ -292,6 +292,16 @@ def _addressed(docs: DataFrame) -> DataFrame:
         return B.table(docs).select(*[F.col(f"`{c}`") for c in docs.columns], block.alias("__block"))
 
 
+def shape_for(octets: int) -> tuple[int, int]:
+    """Bits of the sketch's cells, at most MAX_CELL_BITS, and bits of the exact pass's slices, which grow with the texts."""
+    bits = max((octets // 2).bit_length(), 12)
+    return min(bits, MAX_CELL_BITS), _slice_bits(bits)
+
+
+def _slice_bits(bits):
+    return max(6, bits - ENTRY_BITS - 2)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, cell_bits: int | None = None) -> DataFrame:
     """Drop every word that lies in a window of ``window`` words which also starts anywhere else.
 
@@ -304,10 +314,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cell_bits: int | None
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     if cell_bits is None:
         octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        cell_bits = min(max((octets // 2).bit_length(), 12), MAX_CELL_BITS)
+        cell_bits, slice_bits = shape_for(octets)
+    else:
+        slice_bits = _slice_bits(cell_bits)
     source = _addressed(docs)
     bitmap = repeated_cells(source, window, cell_bits)
-    slice_bits = max(6, cell_bits - ENTRY_BITS - 2)
     sent = spark.sparkContext.broadcast(bitmap)
     entries = source.select("__block", "text").mapInArrow(
         _entries(window, cell_bits, slice_bits, sent), _ENTRY_SQL)

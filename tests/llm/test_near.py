@@ -101,6 +101,13 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
         assert (1 - (percent / 100) ** width) ** bands <= 4e-6
 
 
+def test_slices_of_the_exact_pass_grow_with_the_texts():
+    for octets in (10 ** 9, 30 * 10 ** 9, 10 ** 12):
+        cells, slices = substring.shape_for(octets)
+        assert cells <= substring.MAX_CELL_BITS and octets / 6.9 / 2 ** slices <= 2 ** (substring.ENTRY_BITS + 1)
+    assert substring.shape_for(5 * 10 ** 8) == (28, 6)
+
+
 def brute_pairs(rows, percent):
     """Similarity of every pair (2n, 2n + 1), and the documents that stay."""
     out, kept = [], set()
