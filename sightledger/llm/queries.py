@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightledger.llm import (
-    ann, base as B, bpe, minhash, order_minhash, packing, secrets, sharding, substring, toxicity, wavelet)
+    ann, base as B, bpe, minhash, order_minhash, packing, prefix_trie, secrets, sharding, substring, toxicity, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,44 @@ FROM w LEFT JOIN kept USING (doc_id)""")
 def op10_substring_dedup(spark, sf_dir):
     out = substring.remove_repeats(B.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_zfast_trie", """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+               md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS leader, crc.h FROM (SELECT DISTINCT conv_id FROM t)
+      JOIN (WITH RECURSIVE d AS (SELECT DISTINCT conv_id AS k, encode(conv_id::VARCHAR) AS b, 1 AS i, 4294967295::BIGINT AS x FROM t
+              UNION ALL
+              SELECT k, b, i + 1, e.x FROM d, LATERAL (SELECT xor(d.x, ('0x' || substr(hex(d.b), 2 * d.i - 1, 2))::BIGINT) AS x0),
+                LATERAL (SELECT CASE WHEN x0 & 1 = 1 THEN xor(x0 >> 1, 3988292384) ELSE x0 >> 1 END AS x1),
+                LATERAL (SELECT CASE WHEN x1 & 1 = 1 THEN xor(x1 >> 1, 3988292384) ELSE x1 >> 1 END AS x2),
+                LATERAL (SELECT CASE WHEN x2 & 1 = 1 THEN xor(x2 >> 1, 3988292384) ELSE x2 >> 1 END AS x3),
+                LATERAL (SELECT CASE WHEN x3 & 1 = 1 THEN xor(x3 >> 1, 3988292384) ELSE x3 >> 1 END AS x4),
+                LATERAL (SELECT CASE WHEN x4 & 1 = 1 THEN xor(x4 >> 1, 3988292384) ELSE x4 >> 1 END AS x5),
+                LATERAL (SELECT CASE WHEN x5 & 1 = 1 THEN xor(x5 >> 1, 3988292384) ELSE x5 >> 1 END AS x6),
+                LATERAL (SELECT CASE WHEN x6 & 1 = 1 THEN xor(x6 >> 1, 3988292384) ELSE x6 >> 1 END AS x7),
+                LATERAL (SELECT CASE WHEN x7 & 1 = 1 THEN xor(x7 >> 1, 3988292384) ELSE x7 >> 1 END AS x) e
+              WHERE i <= octet_length(b))
+            SELECT k, xor(x, 4294967295) % 6 AS h FROM d WHERE i = octet_length(b) + 1) crc ON crc.k = conv_id),
+r AS (SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.leader AND t.i <= c.h
+      UNION ALL SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, text,
+        string_agg(strlen(role)::VARCHAR || ':' || strlen(text)::VARCHAR || ':' || role || text, '' ORDER BY i)
+          OVER (PARTITION BY conv_id ORDER BY i) AS key FROM r),
+p AS (SELECT conv_id, d, sha256(key) AS node, lag(sha256(key), 1, 'root') OVER (PARTITION BY conv_id ORDER BY d) AS up, length(text) AS chars FROM s
+      UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM c),
+n AS (SELECT node, any_value(d) AS depth, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n FROM p GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT DISTINCT x.node AS top, y.node FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.d <= y.d),
+b AS (SELECT top AS node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n - 1) * n.chars) AS saved
+      FROM a JOIN n USING (node) LEFT JOIN k USING (node) GROUP BY top),
+e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+      FROM (SELECT conv_id, arg_max(node, d) AS node FROM p GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN b USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node) LEFT JOIN n m ON m.node = n.up""")
+def op12_zfast_trie(spark, sf_dir):
+    turns = B.ready(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.nodes_of(prefix_trie.rebuilt(turns))
