@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightledger.llm import (
-    ann, base as B, bpe, minhash, order_minhash, packing, prefix_trie, secrets, sharding, substring, toxicity, wavelet)
+    ann, base as B, bpe, dual_tree, minhash, order_minhash, packing, prefix_trie, secrets, sharding, substring, toxicity, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,16 @@ FROM n JOIN b USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node) LEF
 def op12_zfast_trie(spark, sf_dir):
     turns = B.ready(spark).read.parquet(f"{sf_dir}/conversations.parquet")
     return prefix_trie.nodes_of(prefix_trie.rebuilt(turns))
+
+
+@query("op13_dual_cover_tree", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op13_dual_cover_tree(spark, sf_dir):
+    vectors = B.table(dual_tree.clean(B.ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return dual_tree.top_products(vectors, vectors.filter("vec_id % 100 = 0"))

@@ -1,12 +1,14 @@
 """Conversation trie, phrases and exact search against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from sightledger.llm import prefix_trie
+from sightledger.llm import base as B, dual_tree, prefix_trie
 
 TURNS = "conv_id long, turn long, role string, text string, digest string, path long, depth int"
 
@@ -101,3 +103,70 @@ def test_fattest_depths_and_exits(spark):
     assert not got[5][1] and got[2][1] and explicit
 
 
+def brute_products(rows, asked, k):
+    whole = []
+    for n, (i, v) in enumerate(rows):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x * 1024.0) for x in v):
+            whole.append((n, i, [math.floor(x * 1024) for x in v]))
+    out = []
+    for n, q, a in whole:
+        if asked(q):
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, i, b in whole if m != n)[:k]
+            out += [(q, r + 1, i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def vectors(seed, n=900, dims=8):
+    rng = random.Random(seed)
+    around = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(6)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(around)]) for i in range(n)]
+    rows += [(n + i, list(around[0])) for i in range(300)]                     # copies, far more than k
+    rows += [(40, [9.0] * dims), (40, [1.0] * dims), (3, [9.0] * dims)]         # repeated ids
+    rows += [(5000, None), (5001, [None] * dims), (5002, [math.nan] * dims), (5003, [math.inf] * dims), (None, [1.0] * dims),
+             (5004, [0.0] * dims), (5005, []), (5006, [1.0, 2.0]), (5007, [0.25] * (dims + 3)), (5020, [-0.0] * dims)]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [(64, 16, 8), (1024, 512, 64)])
+def test_dual_tree_equals_brute_force(spark, monkeypatch, sizes):
+    for name, value in zip(("CHUNK", "BLOCK", "PAIRS"), sizes):
+        monkeypatch.setattr(dual_tree, name, value)
+    monkeypatch.setattr(dual_tree, "FIRST_ROWS", 2 * sizes[0])
+    rows = vectors(3)
+    kind = "vec_id long, embedding array<double>, cell int, score string, v int"
+    known = B.table(dual_tree.clean(spark.createDataFrame([(*r, 1, "s", 2) for r in rows], kind).repartition(3)))
+    got = dual_tree.top_products(known, known.filter("vec_id % 20 = 0"), 10)
+    assert sorted(map(tuple, got.collect())) == brute_products(rows, lambda q: q % 20 == 0, 10)
+
+
+def test_dual_tree_keeps_huge_numbers_exact(spark):
+    rows = [(i, [float(v) for v in vs]) for i, vs in enumerate([
+        [2.0 ** 60, 1], [2.0 ** 60, 2], [2.0 ** 60, 3], [-2.0 ** 60, 7], [2.0 ** 20, 1e-3], [1e150, 1], [1, 1]])]
+    known = B.table(dual_tree.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = dual_tree.top_products(known, known, 3)
+    assert sorted(map(tuple, got.collect())) == brute_products(rows, lambda q: True, 3)
+    none = known.filter("vec_id < 0")
+    assert dual_tree.top_products(known, none).isEmpty() and dual_tree.top_products(none, known).isEmpty()
+    one = known.filter("vec_id = 6")
+    assert dual_tree.top_products(one, one).isEmpty()
+
+
+def test_cover_tree_covers_and_prunes():
+    rng = np.random.default_rng(1)
+    middles = rng.normal(0, 500, (12, 16))
+    x = np.floor(middles[rng.integers(0, 12, 3000)] + rng.normal(0, 8, (3000, 16)))
+    tree = dual_tree.cover_tree(x, np.arange(3000), np.arange(3000))
+    assert sorted(tree.ids) == list(range(3000))
+    for n, kids in enumerate(tree.kids):
+        own = tree.x[tree.first[n]:tree.end[n]]
+        assert dual_tree.norms(own - tree.x[tree.center[n]]).max() <= tree.radius[n] + 1e-9
+        assert not kids or sum(tree.end[c] - tree.first[c] for c in kids) == len(own)
+    looked = []
+    plain = dual_tree.dot
+    asked = dual_tree.cover_tree(x[::50], np.arange(0, 3000, 50), np.arange(0, 3000, 50), dual_tree.QUERY_LEAF)
+    dual_tree.dot = lambda q, b: looked.append(len(q) * len(b)) or plain(q, b)
+    try:
+        dual_tree.search(asked, tree, 10, np.full(len(asked.x), -np.inf))
+    finally:
+        dual_tree.dot = plain
+    assert sum(looked) < 0.5 * len(asked.x) * len(x)
