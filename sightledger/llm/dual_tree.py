@@ -29,6 +29,7 @@ CENTERS = 4096       # cells, at most
 SAMPLE = 8192        # vectors that centers are chosen from, at most
 LEAF = 64            # vectors of a leaf in a chunk's tree
 QUERY_LEAF = 8       # queries of a leaf in a block's tree
+GRAIN = 1 << 16      # pairs of vectors that are compared at once rather than by smaller nodes
 SHRINK = 0.5         # radius of the next level of a cover tree
 FANOUT = 8           # children of a node, at most
 PAIRS = 64           # blocks that one copy of a chunk meets, about
@@ -202,15 +203,16 @@ def search(query: CoverTree, base: CoverTree, k: int, floor: np.ndarray) -> list
         if -upper < worst(a):
             continue
         up, down = query.kids[a], base.kids[b]
-        if not up and not down:
+        pairs = (query.end[a] - query.first[a]) * (base.end[b] - base.first[b])
+        if not up and not down or pairs <= GRAIN:
             leaves(a, b)
             continue
         # The wider of the two is opened, so bounds shrink as fast as they can.
         if down and (not up or base.radius[b] >= query.radius[a]):
-            pairs = [(a, c) for c in down]
+            closer = [(a, c) for c in down]
         else:
-            pairs = [(c, b) for c in up]
-        for c, d in pairs:
+            closer = [(c, b) for c in up]
+        for c, d in closer:
             value = bound(c, d)
             if value >= worst(c):
                 heapq.heappush(queue, (-value, c, d))

@@ -132,6 +132,7 @@ def test_dual_tree_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in zip(("CHUNK", "BLOCK", "PAIRS"), sizes):
         monkeypatch.setattr(dual_tree, name, value)
     monkeypatch.setattr(dual_tree, "FIRST_ROWS", 2 * sizes[0])
+    monkeypatch.setattr(dual_tree, "GRAIN", sizes[0] // 4)
     rows = vectors(3)
     kind = "vec_id long, embedding array<double>, cell int, score string, v int"
     known = B.table(dual_tree.clean(spark.createDataFrame([(*r, 1, "s", 2) for r in rows], kind).repartition(3)))
@@ -162,11 +163,11 @@ def test_cover_tree_covers_and_prunes():
         assert dual_tree.norms(own - tree.x[tree.center[n]]).max() <= tree.radius[n] + 1e-9
         assert not kids or sum(tree.end[c] - tree.first[c] for c in kids) == len(own)
     looked = []
-    plain = dual_tree.dot
+    plain, dual_tree.GRAIN = dual_tree.dot, 1
     asked = dual_tree.cover_tree(x[::50], np.arange(0, 3000, 50), np.arange(0, 3000, 50), dual_tree.QUERY_LEAF)
     dual_tree.dot = lambda q, b: looked.append(len(q) * len(b)) or plain(q, b)
     try:
         dual_tree.search(asked, tree, 10, np.full(len(asked.x), -np.inf))
     finally:
-        dual_tree.dot = plain
+        dual_tree.dot, dual_tree.GRAIN = plain, 1 << 16
     assert sum(looked) < 0.5 * len(asked.x) * len(x)
