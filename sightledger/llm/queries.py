@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightledger.llm import (
-    ann, base as B, bpe, dual_tree, minhash, order_minhash, packing, prefix_trie, secrets, sharding, substring, toxicity, wavelet)
+    ann, base as B, bpe, dual_tree, minhash, order_minhash, packing, phrases, prefix_trie, secrets, sharding, substring, toxicity, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,32 @@ def op10_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op11_debruijn_phrases", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+t AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM i),
+f1 AS (SELECT lang, x, count(*) AS f FROM t GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM t WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM t WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+m AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+c AS (SELECT lang, x || ' ' || y AS phrase, f2.f AS a, 1 AS k, p.f AS l, q.f AS r FROM f2
+        JOIN f1 p USING (lang, x) JOIN (SELECT lang, x AS y, f FROM f1) q USING (lang, y) LEFT JOIN m USING (lang, x, y)
+      WHERE f2.f >= 10 AND (m.f IS NULL OR 100 * m.f < 50 * f2.f)
+      UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f3.f, 1, p.f, q.f FROM f3
+        JOIN f1 p USING (lang, x) JOIN (SELECT lang, x AS y, y AS z, f FROM f2) q USING (lang, y, z)
+      UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f3.f, 2, p.f, q.f FROM f3
+        JOIN f2 p USING (lang, x, y) JOIN (SELECT lang, x AS z, f FROM f1) q USING (lang, z)),
+s AS (SELECT *, a::HUGEINT * a * 1000000 // (l::HUGEINT * r) AS score FROM c),
+u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM u)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_debruijn_phrases(spark, sf_dir):
+    return phrases.collocations(B.documents(spark, sf_dir))
+
+
 @query("op12_zfast_trie", """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
