@@ -328,7 +328,7 @@ def embed_candidates(v):
 
 def _resolution(v):
     p = Params(cluster_similarity=EDGE_THRESHOLD, match_threshold=0.25, ambiguity_margin=0.02,
-               local_patch_similarity=0.4, max_clusters_per_batch=256)
+               local_patch_similarity=0.4)
     f = v.fingerprints().filter(F.col("vec_id") % 5 != 0).select(
         "id", "source_id", "score", "vector", slices("vector", 4, 16).alias("local"))
     history = v.history()

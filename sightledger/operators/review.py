@@ -62,13 +62,14 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def review_coverage(
-    reviews: DataFrame, expected: DataFrame, objects: DataFrame, batches: DataFrame
+    reviews: DataFrame, expected: DataFrame, objects: DataFrame, batches: DataFrame, memory_empty: bool | None = None
 ) -> DataFrame:
     """Verdict per batch: all expected clusters exactly once, only supplied object ids.
 
     reviews: batch_id, cluster_id, verdict, identity_hypothesis, matched_object_id,
     object_summary; expected: batch_id, cluster_id; objects: object_id (supplied cards).
-    One bad review rejects its whole batch.
+    One bad review rejects its whole batch. ``memory_empty`` says whether there is no object at all, for callers that
+    supply only the cards which the reviews name.
     """
     seen = reviews.groupBy("batch_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     pairs = expected.select("batch_id", "cluster_id", F.lit(True).alias("wanted")).join(
@@ -80,7 +81,9 @@ def review_coverage(
         F.bool_or(F.coalesce("n", F.lit(0)) > 1).alias("repeated_cluster"),
     )
     cards = objects.select(F.col("object_id").alias("matched_object_id"), F.lit(True).alias("_known")).distinct()
-    memory_empty = objects.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty"))
+    empty = objects.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty"))
+    if memory_empty is not None:
+        empty = reviews.sparkSession.range(1).select(F.lit(memory_empty).alias("_empty"))
     faults = F.concat(
         validate_review(F.col("verdict"), F.col("identity_hypothesis"),
                         F.col("matched_object_id"), F.col("object_summary").isNotNull()),
@@ -91,7 +94,7 @@ def review_coverage(
     named = reviews.filter(F.col("matched_object_id").isNotNull()).join(cards, "matched_object_id", "left")
     nameless = reviews.filter(F.col("matched_object_id").isNull()).withColumn("_known", F.lit(None).cast("boolean"))
     checked = (
-        named.unionByName(nameless).crossJoin(F.broadcast(memory_empty))  # one row
+        named.unionByName(nameless).crossJoin(F.broadcast(empty))  # one row
         .withColumn("_faulty", F.size(faults) > 0)
         .withColumn("_unknown", F.col("matched_object_id").isNotNull() & F.col("_known").isNull())
         .withColumn("_not_new", F.col("_empty") & (F.col("verdict") == "object")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable
 
@@ -12,7 +12,8 @@ from sightledger.operators import clustering as K, commit as CM, matching as M
 from sightledger.operators.candidates import process_candidates
 from sightledger.operators.review import embed, review_coverage, rule_review
 from sightledger.params import Params
-from sightledger.session import materialize, shared_dir, union_all
+from sightledger.plans.maxima import Batches, Maxima, new_folder, only
+from sightledger.session import materialize, shared_dir
 
 Reviewer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -47,116 +48,141 @@ def build_clusters(fingerprints: DataFrame, p: Params) -> tuple[DataFrame, DataF
     return labelled, materialize(K.assign_review_batches(sized, p.max_clusters_per_batch))
 
 
-class _Growing:
-    """A folder that gains one directory per batch; readers see the batches before theirs."""
+def _by_rule(reviews, reviewer: Reviewer):
+    """Reviews of a batch, or why there are none."""
+    try:
+        return materialize(reviewer(*reviews)), None
+    except Exception as error:  # whatever the reviewer's code raises fails its batch, not the run
+        return None, f"reviewer_error:{type(error).__name__}"
 
-    def __init__(self, folder: str, seed: DataFrame):
-        self.path, self.seed = f"{folder}/{uuid.uuid4().hex}", seed
-        self.written = False
 
-    def add(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        target = f"{self.path}/batch_id={batch_id}"
-        rows.select(*self.seed.columns).write.mode("overwrite").parquet(target)
-        self.written = True
-        return rows.sparkSession.read.schema(self.seed.schema).parquet(target)
+class _Loop:
+    """Tables of a review loop: one directory per batch each, in a folder that outlives the driver if it is named."""
 
-    def before(self, batch_id: int) -> DataFrame:
-        if not self.written:
-            return self.seed
-        spark = self.seed.sparkSession
-        rows = spark.read.parquet(self.path).filter(F.col("batch_id") < batch_id)
-        return self.seed.unionByName(rows.select(*self.seed.columns))
+    NAMES = ("decisions", "observations", "filtered", "outcomes", "changes", "views")
+
+    def __init__(self, spark, folder: str, seeds: dict):
+        self.tables = {n: Batches(spark, f"{folder}/{n}", seeds[n]) for n in self.NAMES}
+
+    def put(self, batch_id: int, rows: dict[str, DataFrame]) -> None:
+        # Independent small writes: their jobs run side by side.
+        with ThreadPoolExecutor(len(rows)) as pool:
+            list(pool.map(lambda item: self.tables[item[0]].put(item[1], batch_id), rows.items()))
+
+    def of(self, name: str, batch_id: int) -> DataFrame:
+        return self.tables[name].of(batch_id)
+
+    def all(self, name: str) -> DataFrame:
+        return self.tables[name].all()
 
 
 def review_loop(
     members: DataFrame, clusters: DataFrame, fingerprints: DataFrame, history: DataFrame,
-    objects: DataFrame, reviewer: Reviewer, p: Params, run_id: str,
+    objects: DataFrame, reviewer: Reviewer, p: Params, run_id: str, sources: DataFrame | None = None,
+    stored: DataFrame | None = None, state: str | None = None, commits=None,
 ) -> Resolution:
     """Review batches in order. Each batch sees the objects and views all earlier batches
     left behind, and one snapshot for all of its clusters. A rejected batch, or one whose
     reviewer raises, fails itself and everything after it; a cluster that breaks a commit
-    rule fails alone. The driver only steps through batch numbers; every batch is
-    a Spark job over that batch's members.
+    rule fails alone.
+
+    What a batch needs of the past is kept up to date: the nearest objects of every waiting query follow the new
+    views of each batch (``Maxima``), so no batch looks at all stored views again. The driver only steps through
+    batch numbers.
+
+    ``sources`` (id, status) are the sources as they stand, all of them open without it; ``stored`` (id) are the
+    proposals that earlier runs have stored. With ``state`` and ``commits`` the loop can be restarted: a batch counts
+    once ``commits.write(batch_id, tables)`` has returned, and a new call goes on after ``commits.last()``.
     """
     spark = members.sparkSession
-    folder = shared_dir(spark).rstrip("/")
-    views = _Growing(folder, history.select("object_id", "observation_id", "vector", "local"))
+    shape = history.select("object_id", "observation_id", "vector", "local").schema
     # Versions go on from what is stored, so a later run always holds the higher number.
-    stored = F.col("version").cast("long") if "version" in objects.columns else F.lit(0).cast("long")
-    seed = objects.select("id", stored.alias("version"), "summary", "status")
+    version = F.col("version").cast("long") if "version" in objects.columns else F.lit(0).cast("long")
+    seed = materialize(objects.select("id", version.alias("version"), "summary", "status"))
     base = seed.agg(F.max("version")).first()[0] or 0
-    known = _Growing(folder, seed)
+    loop = _Loop(spark, state or new_folder(shared_dir(spark), "loop"), {
+        "decisions": _DECISIONS, "observations": _OBSERVATIONS, "filtered": _FILTERED, "outcomes": _OUTCOMES,
+        "changes": seed.schema, "views": shape})
+    queries = members.join(clusters.select("cluster_id", F.col("batch_id").alias("query_batch")), "cluster_id").join(
+        fingerprints.select("id", "vector", "local"), "id").select(
+        F.col("id").alias("query_id"), "query_batch", "cluster_id", "source_id", "vector", "local")
+    maxima = Maxima(materialize(queries), M.active_fingerprints(history, seed), p)
+    open_sources = sources if sources is not None else members.select(
+        F.col("source_id").alias("id"), F.lit("processing").alias("status")).distinct()
     last = clusters.agg(F.max("batch_id")).first()[0] or 0
-    decisions, observations, filtered, outcomes = [], [], [], []
-    for batch_id in range(1, last + 1):
+    done = commits.last() if commits else 0
+    for batch_id in range(1, done + 1):
+        for table in loop.tables.values():
+            table.keep(batch_id)
+    if done:
+        views = loop.all("views")
+        maxima.add(views, done, views.count())
+    failed = None
+    for batch_id in range(done + 1, last + 1):
         batch = clusters.filter(F.col("batch_id") == batch_id)
-        mine = materialize(
-            members.join(batch.select("cluster_id"), "cluster_id")
-            .join(fingerprints.select("id", "vector", "local"), "id"))
-        current = known.before(batch_id).groupBy("id").agg(
+        mine = maxima.queries.filter(F.col("query_batch") == batch_id).select(F.col("query_id").alias("id"), "cluster_id", "source_id", "vector", "local")
+        current = seed.unionByName(loop.all("changes"))
+        cluster_ev = materialize(M.cluster_evidence(mine.select("cluster_id", "id"), maxima.evidence(batch_id)))
+        newest = current.groupBy("id").agg(
             F.max_by("summary", "version").alias("summary"), F.max_by("status", "version").alias("status"))
-        active = current.filter(F.col("status") == "active")
-        snapshot = M.active_fingerprints(views.before(batch_id), current)
-        evidence = M.match_fingerprints(mine.withColumnRenamed("id", "query_id"), snapshot, p)
-        cluster_ev = materialize(M.cluster_evidence(mine.select("cluster_id", "id"), evidence))
-        reviews, why = None, None
-        try:
-            reviews = materialize(reviewer(batch.join(cluster_ev, "cluster_id"), active))
-        except Exception as error:  # whatever the reviewer's code raises fails its batch, not the run
-            why = f"reviewer_error:{type(error).__name__}"
+        reviews, why = _by_rule((batch.join(cluster_ev, "cluster_id"), newest.filter(F.col("status") == "active")), reviewer)
         if reviews is not None:
+            named = reviews.select(F.col("matched_object_id").alias("id")).filter("id is not null")
+            known = only(current, "id", named).groupBy("id").agg(F.max_by("status", "version").alias("status"))
+            cards = known.filter(F.col("status") == "active").select(F.col("id").alias("object_id"))
+            nothing = current.limit(1).isEmpty()
             verdict = review_coverage(
-                reviews.withColumn("batch_id", F.lit(batch_id)), batch.select("batch_id", "cluster_id"),
-                active.select(F.col("id").alias("object_id")), batch.select("batch_id").distinct()).first()
+                reviews.withColumn("batch_id", F.lit(batch_id)), batch.select("batch_id", "cluster_id"), cards,
+                batch.select("batch_id").distinct(), nothing).first()
             if verdict is None or not verdict["accepted"]:
                 why = ",".join(verdict["violations"]) if verdict else "no_response"
         if why is not None:
-            rest = clusters.filter(F.col("batch_id") >= batch_id)
-            outcomes.append(rest.select(
-                "cluster_id", "batch_id", F.lit("failed").alias("final_decision"),
-                F.lit(None).cast("string").alias("object_id"), F.lit(why).alias("error")))
+            failed = (batch_id, why)
             break
         resolved = materialize(CM.resolve_clusters(reviews, cluster_ev, run_id).join(
             batch.select("cluster_id", "position", "batch_id"), "cluster_id"))
         decided = materialize(CM.cluster_member_decisions(mine, resolved))
-        # A cluster that breaks a rule is not applied; the others of its batch are.
-        broken = materialize(CM.commit_violations(
-            mine, decided, CM.observations_of(decided), resolved, current,
-            mine.select(F.col("source_id").alias("id"), F.lit("processing").alias("status")).distinct(),
-            (union_all(decisions) if decisions else decided.limit(0)).select(F.col("proposal_id").alias("id"))))
-        if not broken.isEmpty():
-            bad = broken.select("cluster_id")
-            outcomes.append(broken.join(batch, "cluster_id").select(
-                "cluster_id", "batch_id", F.lit("failed").alias("final_decision"), F.lit(None).cast("string").alias("object_id"),
-                F.concat_ws(",", "violations").alias("error")))
-            resolved, decided = (materialize(df.join(bad, "cluster_id", "left_anti")) for df in (resolved, decided))
+        # A cluster that breaks a rule is not applied; the others of its batch are. One row per broken cluster.
+        ids = decided.select(F.col("proposal_id").alias("id"))
+        before = loop.all("decisions").select(F.col("proposal_id").alias("id"))
+        before = before.unionByName(stored.select("id")) if stored is not None else before
+        broken = {r.cluster_id: r.violations for r in CM.commit_violations(
+            mine, decided, CM.observations_of(decided), resolved, known,
+            only(open_sources, "id", mine.select(F.col("source_id").alias("id"))), before.join(ids, "id", "left_semi")).collect()}
+        fine = ~F.col("cluster_id").isin(list(broken)) if broken else F.lit(True)
+        resolved, decided = resolved.filter(fine), decided.filter(fine)
         seen = CM.observations_of(decided)
-        decisions.append(decided)
-        observations.append(seen)
-        filtered.append(CM.filter_cluster(mine, resolved))
-        outcomes.append(resolved.select(
-            "cluster_id", "batch_id", F.col("decision").alias("final_decision"), "object_id",
-            F.lit(None).cast("string").alias("error")))
-        new_views = seen.join(mine.select(F.col("id").alias("proposal_id"), "vector", "local"), "proposal_id")
-        views.add(new_views.withColumnRenamed("id", "observation_id"), batch_id)
-        changed = CM.object_changes(resolved).select(
-            "id", F.lit(base + batch_id).cast("long").alias("version"), "summary", F.lit("active").alias("status"))
-        known.add(changed, batch_id)
-
-    def joined(frames, schema):
-        return union_all(frames) if frames else spark.createDataFrame([], schema)
-
-    cluster_out = joined(outcomes, _OUTCOMES)
-    d = joined(decisions, _DECISIONS)
-    state = members.select("cluster_id", F.col("id").alias("proposal_id"), "source_id").join(cluster_out, "cluster_id")
-    state = state.join(d.select("proposal_id", F.col("decision").alias("_d")), "proposal_id", "left")
+        outcome = resolved.select("cluster_id", "batch_id", F.col("decision").alias("final_decision"), "object_id", F.lit(None).cast("string").alias("error"))
+        if broken:
+            outcome = outcome.unionByName(spark.createDataFrame(
+                [(c, batch_id, "failed", None, ",".join(v)) for c, v in broken.items()], _OUTCOMES))
+        loop.put(batch_id, {
+            "decisions": decided, "observations": seen, "filtered": CM.filter_cluster(mine, resolved), "outcomes": outcome,
+            "changes": CM.object_changes(resolved).select(
+                "id", F.lit(base + batch_id).cast("long").alias("version"), "summary", F.lit("active").alias("status")),
+            "views": seen.select(F.col("id").alias("observation_id"), "object_id", "proposal_id").join(
+                mine.select(F.col("id").alias("proposal_id"), "vector", "local"), "proposal_id")})
+        if commits:
+            commits.write(batch_id, {n: loop.of(n, batch_id) for n in loop.NAMES})
+        views = loop.of("views", batch_id)
+        maxima.add(views, batch_id, views.count())
+
+    cluster_out = loop.all("outcomes")
+    if failed:
+        rest = clusters.filter(F.col("batch_id") >= failed[0]).select(
+            "cluster_id", F.col("batch_id").cast("long").alias("batch_id"), F.lit("failed").alias("final_decision"),
+            F.lit(None).cast("string").alias("object_id"), F.lit(failed[1]).alias("error"))
+        cluster_out = cluster_out.unionByName(rest)
+    d = loop.all("decisions")
+    state_of = members.select("cluster_id", F.col("id").alias("proposal_id"), "source_id").join(cluster_out, "cluster_id")
+    state_of = state_of.join(d.select("proposal_id", F.col("decision").alias("_d")), "proposal_id", "left")
     final = F.col("final_decision")
     status = F.when(final == "failed", "failed").when(final == "ignored", "filtered").otherwise("decided")
-    out = state.select(
+    out = state_of.select(
         "proposal_id", "source_id", "cluster_id", "batch_id", status.alias("status"),
         F.coalesce("_d", final).alias("decision"), "object_id", "error")
-    return Resolution(cluster_out, members, d, joined(observations, _OBSERVATIONS), joined(filtered, _FILTERED),
-                      known.before(last + 1), out)
+    return Resolution(cluster_out, members, d, loop.all("observations"), loop.all("filtered"),
+                      seed.unionByName(loop.all("changes")), out)
 
 
 def close_run(sources: DataFrame, outcomes: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
