@@ -81,7 +81,7 @@ def assign_review_batches(v):
 
 COMMIT = """
 mem AS (SELECT 'clu_' || l_partkey AS cluster_id, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id,
-          'src_' || l_orderkey AS source_id FROM lineitem WHERE l_returnflag = 'A'),
+          'src_' || l_orderkey AS source_id FROM lineitem),
 res AS (SELECT 'clu_' || p_partkey AS cluster_id, (['new', 'existing', 'uncertain', 'ignored'])[(p_partkey % 4 + 1)::INT] AS decision,
           CASE WHEN p_partkey % 4 < 2 THEN 'obj_' || (p_partkey % 100) END AS object_id, p_size / 50.0::DOUBLE AS conf, p_name AS why FROM part),
 f AS (SELECT cluster_id, min(id) AS first FROM mem GROUP BY 1),
@@ -103,7 +103,7 @@ def _commit(v):
         F.lit("code").alias("reason_code"), F.lit("why").alias("decision_reason"), F.col("p_name").alias("short_reason"),
         F.lit("new").alias("identity_hypothesis"), obj.alias("matched_object_id"), F.lit("{}").alias("evidence"),
         F.lit("object").alias("verdict"), k.alias("position"))
-    members = v.table("lineitem").filter(F.col("l_returnflag") == "A").select(
+    members = v.table("lineitem").select(
         F.concat(F.lit("clu_"), F.col("l_partkey").cast("string")).alias("cluster_id"),
         F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"),
         F.concat(F.lit("src_"), F.col("l_orderkey").cast("string")).alias("source_id"))

@@ -69,10 +69,10 @@ def observations_of(decisions: DataFrame) -> DataFrame:
     )
 
 
-def object_changes(resolved: DataFrame) -> DataFrame:
-    """New objects and summary replacements; within a batch the last cluster wins."""
+def object_changes(resolved: DataFrame, *keys: str) -> DataFrame:
+    """New objects and summary replacements; within a batch, or each of ``keys``, the last cluster wins."""
     accepted = resolved.filter(F.col("decision").isin("new", "existing"))
-    return accepted.groupBy(F.col("object_id").alias("id")).agg(
+    return accepted.groupBy(F.col("object_id").alias("id"), *keys).agg(
         F.max_by("object_summary", "position").alias("summary"),
         F.bool_or(F.col("decision") == "new").alias("created"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -61,6 +62,17 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1)
+def _review_faults(application: str):
+    """Broken rules of a review. The expression is large and made once per application: a loop asks for it per batch."""
+    return F.concat(
+        validate_review(F.col("verdict"), F.col("identity_hypothesis"),
+                        F.col("matched_object_id"), F.col("object_summary").isNotNull()),
+        F.when(F.col("object_summary").isNotNull(), validate_summary(F.col("object_summary")))
+        .otherwise(F.array().cast("array<string>")),
+    )
+
+
 def review_coverage(
     reviews: DataFrame, expected: DataFrame, objects: DataFrame, batches: DataFrame, memory_empty: bool | None = None
 ) -> DataFrame:
@@ -84,12 +96,7 @@ def review_coverage(
     empty = objects.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty"))
     if memory_empty is not None:
         empty = reviews.sparkSession.range(1).select(F.lit(memory_empty).alias("_empty"))
-    faults = F.concat(
-        validate_review(F.col("verdict"), F.col("identity_hypothesis"),
-                        F.col("matched_object_id"), F.col("object_summary").isNotNull()),
-        F.when(F.col("object_summary").isNotNull(), validate_summary(F.col("object_summary")))
-        .otherwise(F.array().cast("array<string>")),
-    )
+    faults = _review_faults(reviews.sparkSession.sparkContext.applicationId)
     # Most reviews name no object: they skip the join instead of meeting in one partition.
     named = reviews.filter(F.col("matched_object_id").isNotNull()).join(cards, "matched_object_id", "left")
     nameless = reviews.filter(F.col("matched_object_id").isNull()).withColumn("_known", F.lit(None).cast("boolean"))
@@ -130,6 +137,47 @@ def embed(df: DataFrame, load: Callable, schema) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def guarded(df: DataFrame, load: Callable, schema: str, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of a user function, or rows that say why there are none: the task lives on.
+
+    ``load()`` runs once per task and returns a batch function. What it raises comes back as one row per input row
+    with its ``keys``, ``error`` and ``error_kind``: ``load`` if the function could not be made, ``row`` if it failed
+    on that row. A batch that fails is tried again row by row, so its other rows are not lost.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def why(error: Exception) -> str:
+        return f"{type(error).__name__}: {error}"
+
+    def good(out: pd.DataFrame) -> pd.DataFrame:
+        return out[names].assign(error=None, error_kind=None)
+
+    def bad(rows: pd.DataFrame, text: str, kind: str) -> pd.DataFrame:
+        out = pd.DataFrame({n: rows[n].to_numpy() if n in keys else [None] * len(rows) for n in names}, dtype="object")
+        return out.assign(error=text, error_kind=kind)
+
+    def run(batches):
+        try:
+            model, broken = load(), None
+        except Exception as error:
+            model, broken = None, why(error)
+        for pdf in batches:
+            if broken is not None:
+                yield bad(pdf, broken, "load")
+                continue
+            try:
+                yield good(model(pdf.copy()))
+            except Exception:
+                for i in range(len(pdf)):
+                    row = pdf.iloc[i:i + 1]
+                    try:
+                        yield good(model(row.copy()))
+                    except Exception as error:
+                        yield bad(row, why(error), "row")
+
+    return df.mapInPandas(run, f"{schema}, error string, error_kind string")
+
+
 def review(payload: DataFrame, fn: Callable[[str, list], str]) -> DataFrame:
     """One user-function call per batch of clusters: (batch_id, raw_text)."""
     def call(batches):

@@ -8,11 +8,13 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from sightledger.functions.identity import hashed_id
 from sightledger.operators import clustering as K, commit as CM, matching as M
 from sightledger.operators.candidates import process_candidates
 from sightledger.operators.review import embed, review_coverage, rule_review
 from sightledger.params import Params
-from sightledger.plans.maxima import Batches, Maxima, new_folder, only
+from sightledger.plans import maxima as MX
+from sightledger.plans.maxima import Batches, Maxima, new_folder, only, together
 from sightledger.session import materialize, shared_dir
 
 Reviewer = Callable[[DataFrame, DataFrame], DataFrame]
@@ -48,6 +50,15 @@ def build_clusters(fingerprints: DataFrame, p: Params) -> tuple[DataFrame, DataF
     return labelled, materialize(K.assign_review_batches(sized, p.max_clusters_per_batch))
 
 
+def _window(sizes: dict[int, int], start: int, last: int) -> int:
+    """The last batch of those that go at once: as many as have members for one task."""
+    end, rows = start, sizes[start]
+    while end < last and rows + sizes[end + 1] <= MX.SENT_VIEWS:
+        end += 1
+        rows += sizes[end]
+    return end
+
+
 def _by_rule(reviews, reviewer: Reviewer):
     """Reviews of a batch, or why there are none."""
     try:
@@ -87,12 +98,17 @@ def review_loop(
     rule fails alone.
 
     What a batch needs of the past is kept up to date: the nearest objects of every waiting query follow the new
-    views of each batch (``Maxima``), so no batch looks at all stored views again. The driver only steps through
-    batch numbers.
+    views of each batch (``Maxima``), so no batch looks at all stored views again.
+
+    A reviewer marked ``repeatable`` looks at the evidence only and may be asked again. Then many batches go at once:
+    all are reviewed as if none of them added a view, the views that this would add are assumed, each for the batches
+    after its own, and so on until nothing changes. The first batch is right at once, and every round makes at least
+    one more right, so the end is what one batch after the other gives; rounds follow the longest chain of clusters
+    that depend on each other, not the number of batches. Other reviewers are asked once per batch.
 
     ``sources`` (id, status) are the sources as they stand, all of them open without it; ``stored`` (id) are the
-    proposals that earlier runs have stored. With ``state`` and ``commits`` the loop can be restarted: a batch counts
-    once ``commits.write(batch_id, tables)`` has returned, and a new call goes on after ``commits.last()``.
+    proposals that earlier runs have stored. With ``state`` and ``commits`` the loop can be restarted: batches count
+    once ``commits.write(last of them, tables)`` has returned, and a new call goes on after ``commits.batches()``.
     """
     spark = members.sparkSession
     shape = history.select("object_id", "observation_id", "vector", "local").schema
@@ -103,69 +119,117 @@ def review_loop(
     loop = _Loop(spark, state or new_folder(shared_dir(spark), "loop"), {
         "decisions": _DECISIONS, "observations": _OBSERVATIONS, "filtered": _FILTERED, "outcomes": _OUTCOMES,
         "changes": seed.schema, "views": shape})
-    queries = members.join(clusters.select("cluster_id", F.col("batch_id").alias("query_batch")), "cluster_id").join(
+    queries = members.join(clusters.select("cluster_id", F.col("batch_id").cast("long").alias("query_batch")), "cluster_id").join(
         fingerprints.select("id", "vector", "local"), "id").select(
         F.col("id").alias("query_id"), "query_batch", "cluster_id", "source_id", "vector", "local")
     maxima = Maxima(materialize(queries), M.active_fingerprints(history, seed), p)
     open_sources = sources if sources is not None else members.select(
         F.col("source_id").alias("id"), F.lit("processing").alias("status")).distinct()
-    last = clusters.agg(F.max("batch_id")).first()[0] or 0
-    done = commits.last() if commits else 0
-    for batch_id in range(1, done + 1):
+    sizes = {r.batch_id: r.n for r in clusters.groupBy("batch_id").agg(F.sum("member_count").alias("n")).collect()}  # a row per batch
+    last = max(sizes, default=0)
+    finished = commits.batches() if commits else []
+    for number in finished:
         for table in loop.tables.values():
-            table.keep(batch_id)
-    if done:
+            table.keep(number)
+    start = max(finished, default=0) + 1
+    if finished:
         views = loop.all("views")
-        maxima.add(views, done, views.count())
-    failed = None
-    for batch_id in range(done + 1, last + 1):
-        batch = clusters.filter(F.col("batch_id") == batch_id)
-        mine = maxima.queries.filter(F.col("query_batch") == batch_id).select(F.col("query_id").alias("id"), "cluster_id", "source_id", "vector", "local")
+        maxima.add(views, start - 1, views.count())
+    failed, alone = None, not getattr(reviewer, "repeatable", False)
+    while start <= last and failed is None:
         current = seed.unionByName(loop.all("changes"))
-        cluster_ev = materialize(M.cluster_evidence(mine.select("cluster_id", "id"), maxima.evidence(batch_id)))
+        nothing = current.limit(1).isEmpty()
+        # The first object ever must be new, which is a rule for one batch.
+        end = start if alone or nothing else _window(sizes, start, last)
+        rows = sum(sizes[b] for b in range(start, end + 1))
+        small = rows <= MX.SENT_VIEWS
+
+        def kept(df, small=small):
+            """Batches of usual size lie in one partition, and nothing they are joined with moves."""
+            return together(materialize(together(df, small)), small)
+
+        batch = kept(clusters.filter(F.col("batch_id").between(start, end)))
+        mine = maxima.of(start, end, rows).select(F.col("query_id").alias("id"), "cluster_id", "source_id", "vector", "local")
         newest = current.groupBy("id").agg(
             F.max_by("summary", "version").alias("summary"), F.max_by("status", "version").alias("status"))
-        reviews, why = _by_rule((batch.join(cluster_ev, "cluster_id"), newest.filter(F.col("status") == "active")), reviewer)
-        if reviews is not None:
+        assumed, before, resolved = None, None, None
+        while True:
+            cluster_ev = kept(M.cluster_evidence(mine.select("cluster_id", "id"), maxima.evidence(start, end, rows, assumed)))
+            reviews, why = _by_rule((batch.join(cluster_ev, "cluster_id"), newest.filter(F.col("status") == "active")), reviewer)
+            if why is not None:
+                break
+            reviews = together(reviews, small)
+            resolved = kept(CM.resolve_clusters(reviews, cluster_ev, run_id).join(
+                batch.select("cluster_id", "position", "batch_id"), "cluster_id"))
+            if start == end:
+                break
+            now = {r.cluster_id: r.object_id for r in resolved.select("cluster_id", "object_id").collect()}  # a window's clusters
+            if now == before:
+                break
+            before = now
+            assumed = mine.select(F.col("id").alias("query_id"), "cluster_id").join(
+                resolved.filter("object_id is not null").select("cluster_id", "object_id"), "cluster_id").select(
+                "query_id", "object_id", hashed_id("obs", F.col("query_id")).alias("observation_id"))
+        if why is not None and start < end:
+            alone = True  # one of these batches fails; which one is found batch by batch
+            continue
+        upto = end
+        if why is None:
             named = reviews.select(F.col("matched_object_id").alias("id")).filter("id is not null")
-            known = only(current, "id", named).groupBy("id").agg(F.max_by("status", "version").alias("status"))
+            known = together(only(current, "id", named), small).groupBy("id").agg(F.max_by("status", "version").alias("status"))
+            if start < end:
+                made = resolved.filter("decision = 'new'").select(F.col("object_id").alias("id"), F.lit("active").alias("status"))
+                known = known.unionByName(made)
             cards = known.filter(F.col("status") == "active").select(F.col("id").alias("object_id"))
-            nothing = current.limit(1).isEmpty()
-            verdict = review_coverage(
-                reviews.withColumn("batch_id", F.lit(batch_id)), batch.select("batch_id", "cluster_id"), cards,
-                batch.select("batch_id").distinct(), nothing).first()
-            if verdict is None or not verdict["accepted"]:
-                why = ",".join(verdict["violations"]) if verdict else "no_response"
+            numbers = batch.select("cluster_id", "batch_id")
+            given = reviews.join(numbers, "cluster_id", "left").withColumn("batch_id", F.coalesce("batch_id", F.lit(start)))
+            verdicts = {r.batch_id: r for r in review_coverage(
+                given, numbers, cards, numbers.select("batch_id").distinct(), nothing).collect()}  # a row per batch
+            for b in range(start, end + 1):
+                if b not in verdicts or not verdicts[b]["accepted"]:
+                    why, upto = ",".join(verdicts[b]["violations"]) if b in verdicts else "no_response", b - 1
+                    break
+        else:
+            upto = start - 1
         if why is not None:
-            failed = (batch_id, why)
+            failed = (upto + 1, why)
+        if upto < start:
             break
-        resolved = materialize(CM.resolve_clusters(reviews, cluster_ev, run_id).join(
-            batch.select("cluster_id", "position", "batch_id"), "cluster_id"))
-        decided = materialize(CM.cluster_member_decisions(mine, resolved))
+        resolved = resolved.filter(F.col("batch_id") <= upto)
+        decided = kept(CM.cluster_member_decisions(mine, resolved))
         # A cluster that breaks a rule is not applied; the others of its batch are. One row per broken cluster.
         ids = decided.select(F.col("proposal_id").alias("id"))
-        before = loop.all("decisions").select(F.col("proposal_id").alias("id"))
-        before = before.unionByName(stored.select("id")) if stored is not None else before
-        broken = {r.cluster_id: r.violations for r in CM.commit_violations(
-            mine, decided, CM.observations_of(decided), resolved, known,
-            only(open_sources, "id", mine.select(F.col("source_id").alias("id"))), before.join(ids, "id", "left_semi")).collect()}
-        fine = ~F.col("cluster_id").isin(list(broken)) if broken else F.lit(True)
-        resolved, decided = resolved.filter(fine), decided.filter(fine)
+        there = only(loop.all("decisions").select(F.col("proposal_id").alias("id")), "id", ids)
+        if stored is not None:
+            there = there.unionByName(only(stored.select("id"), "id", ids))
+        state_of = only(open_sources, "id", mine.select(F.col("source_id").alias("id")))
+        broken = {r.cluster_id: (r.violations, r.batch_id) for r in CM.commit_violations(
+            mine, decided, CM.observations_of(decided), resolved, known, together(state_of, small), together(there, small)).join(
+            batch.select("cluster_id", "batch_id"), "cluster_id").collect()}
+        if broken and (least := min(b for _, b in broken.values())) < upto:
+            upto, failed = least, None  # later batches were reviewed with views that are not there
+            broken = {c: v for c, v in broken.items() if v[1] == least}
+        fine = F.col("batch_id") <= upto
+        fine = fine & ~F.col("cluster_id").isin(list(broken)) if broken else fine
+        resolved = resolved.filter(fine)
+        decided = decided.join(resolved.select("cluster_id"), "cluster_id", "left_semi")
         seen = CM.observations_of(decided)
         outcome = resolved.select("cluster_id", "batch_id", F.col("decision").alias("final_decision"), "object_id", F.lit(None).cast("string").alias("error"))
         if broken:
             outcome = outcome.unionByName(spark.createDataFrame(
-                [(c, batch_id, "failed", None, ",".join(v)) for c, v in broken.items()], _OUTCOMES))
-        loop.put(batch_id, {
+                [(c, b, "failed", None, ",".join(v)) for c, (v, b) in broken.items()], _OUTCOMES))
+        loop.put(upto, {
             "decisions": decided, "observations": seen, "filtered": CM.filter_cluster(mine, resolved), "outcomes": outcome,
-            "changes": CM.object_changes(resolved).select(
-                "id", F.lit(base + batch_id).cast("long").alias("version"), "summary", F.lit("active").alias("status")),
+            "changes": CM.object_changes(resolved, "batch_id").select(
+                "id", (F.lit(base) + F.col("batch_id")).cast("long").alias("version"), "summary", F.lit("active").alias("status")),
             "views": seen.select(F.col("id").alias("observation_id"), "object_id", "proposal_id").join(
                 mine.select(F.col("id").alias("proposal_id"), "vector", "local"), "proposal_id")})
         if commits:
-            commits.write(batch_id, {n: loop.of(n, batch_id) for n in loop.NAMES})
-        views = loop.of("views", batch_id)
-        maxima.add(views, batch_id, views.count())
+            commits.write(upto, {n: loop.of(n, upto) for n in loop.NAMES})
+        if upto < last and failed is None:
+            views = loop.of("views", upto)
+            maxima.add(views, upto, views.count())
+        start = upto + 1
 
     cluster_out = loop.all("outcomes")
     if failed:
@@ -197,6 +261,10 @@ def rule_reviewer(clusters: DataFrame, objects: DataFrame) -> DataFrame:
     return rule_review(clusters)
 
 
+# It looks at the evidence only, so it may be asked again.
+rule_reviewer.repeatable = True
+
+
 def resolve_entities(
     fingerprints: DataFrame, history: DataFrame, objects: DataFrame, p: Params, run_id: str,
     reviewer: Reviewer = rule_reviewer,

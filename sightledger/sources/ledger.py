@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -52,14 +53,34 @@ def write_commit(spark: SparkSession, root: str, commit_id: str, tables: dict[st
     if not _published(spark, root).filter(F.col("commit_id") == commit_id).isEmpty():
         return
     attempt = uuid.uuid4().hex
-    for name, df in tables.items():
+
+    def store(item) -> None:
+        name, df = item
         rows = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns
                            else F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER[name]])
         rows = rows.withColumn("commit_id", F.lit(commit_id)).withColumn("write_attempt", F.lit(attempt))
         rows.write.mode("append").partitionBy("write_attempt").parquet(f"{root}/{name}")
+
+    # The tables are independent, so their jobs run side by side; the marker comes after all of them.
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        list(pool.map(store, tables.items()))
     spark.createDataFrame([(commit_id, attempt)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
 
 
+def published(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Ids of the published commits that begin with ``prefix``, in order."""
+    rows = _published(spark, root).filter(F.col("commit_id").startswith(prefix)).select("commit_id").collect()
+    return sorted(r.commit_id for r in rows)
+
+
+def has_ledger(spark: SparkSession, root: str) -> bool:
+    try:
+        _check(spark, root)
+    except LedgerError:
+        return False
+    return True
+
+
 def read_ledger(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Published rows of all six tables; a missing table or other version is an error.
 

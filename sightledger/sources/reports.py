@@ -27,6 +27,11 @@ def write_report(sections: DataFrame, path: str) -> None:
     sections.write.mode("append").partitionBy("run_id").json(path)
 
 
+def replace_report(sections: DataFrame, path: str, run_id: str) -> None:
+    """The report of one run, in its own directory: written again it replaces itself."""
+    sections.drop("run_id").write.mode("overwrite").json(f"{path}/run_id={run_id}")
+
+
 def read_report(spark: SparkSession, path: str, section: str, schema: T.StructType, run_id: str | None = None) -> DataFrame:
     """Typed rows of one section; a run id prunes to its directory."""
     stored = T.StructType([
