@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from sightledger.catalog.events import EVENTS, _sequenced
 from sightledger.catalog.registry import query
 from sightledger.operators import review as R
 from sightledger.functions.vectors import dot, slices
-from sightledger.session import shared_dir
+from sightledger.params import Params
+from sightledger.plans.run import Plugins
+from sightledger.session import shared_dir, union_all
 from sightledger.sources import events as log, fingerprints as fp, ledger, responses
 from sightledger.streaming import live
 
@@ -141,3 +144,63 @@ def incremental_ingestion(v):
     live.start_ingestion(incoming, f"{base}/known", f"{base}/checkpoint", "run_1", True,
                          lambda rows, batch_id: rows.select("sha256", F.lit("completed").alias("status"))).awaitTermination()
     return live.known_sources(v.spark.read.parquet(f"{base}/known"))
+
+
+_FLAWS = "CASE WHEN octet_length(encode(text)) % 50 = 7 THEN 'ValueError: no image' WHEN octet_length(encode(text)) % 41 = 5 THEN 'ValueError: no features' END"
+
+
+@query("ingestion_ledger", f"""
+WITH d AS (SELECT doc_id::VARCHAR || '.png' AS path, coalesce(text, '') AS text, lang FROM documents),
+o AS (SELECT sha256(text) AS sha, arg_min(path, path) AS path, arg_min(lang, path) AS lang, any_value(text) AS text FROM d GROUP BY 1),
+s AS (SELECT 'src_' || substr(sha, 1, 32) AS source, lang, {_FLAWS} AS flaw FROM o),
+c AS (SELECT source, lang, flaw, 'prop_' || substr(sha256(source || chr(10) || 'whole'), 1, 32) AS prop FROM s WHERE coalesce(flaw, '') <> 'ValueError: no image'),
+g AS (SELECT lang, 'clu_' || substr(sha256(string_agg(prop, chr(10) ORDER BY prop)), 1, 24) AS cluster, min(prop) AS first FROM c WHERE flaw IS NULL GROUP BY lang),
+m AS (SELECT c.*, cluster, first, 'obj_' || substr(sha256('run_0' || chr(10) || cluster), 1, 32) AS object FROM c JOIN g USING (lang) WHERE flaw IS NULL)
+SELECT 'runs' AS part, 'run_0' AS id, CASE WHEN bool_or(flaw IS NOT NULL) THEN 'completed_with_errors' ELSE 'completed' END AS state, NULL AS ref FROM s
+UNION ALL SELECT 'source_images', source, CASE WHEN flaw IS NULL THEN 'completed' ELSE 'failed' END, flaw FROM s
+UNION ALL SELECT 'proposals', prop, CASE WHEN flaw IS NULL THEN 'decided' ELSE 'failed' END, coalesce(cluster, flaw) FROM c LEFT JOIN (SELECT prop, cluster FROM m) USING (prop)
+UNION ALL SELECT DISTINCT 'objects', object, 'active', 'object ' || cluster FROM m
+UNION ALL SELECT 'observations', 'obs_' || substr(sha256(prop), 1, 32), object, source FROM m
+UNION ALL SELECT 'decisions', 'dec_' || substr(sha256(prop), 1, 32), CASE WHEN prop = first THEN 'new' ELSE 'existing' END, CASE WHEN prop <> first THEN object END FROM m""")
+def ingestion_ledger(v):
+    """Documents arrive as assets of one candidate each and are resolved: all six ledger tables of the run.
+
+    The stand-in models see the language only, so a language is an object; some assets have no image, some no features.
+    """
+    base = _folder(v, "ingested")
+
+    def segment():
+        import pandas as pd
+
+        def run(pdf):
+            out = []
+            for source, content, path in zip(pdf["source_id"], pdf["content"], pdf["path"]):
+                if len(content) % 50 == 7:
+                    raise ValueError("no image")
+                # The embedder sees boxes only: the language is their width, a flaw their height.
+                width = 10 * (1 + ["de", "en", "es", "fr"].index(path.split("|")[1]))
+                height = 20 if len(content) % 41 == 5 else 30
+                out.append((source, "whole", 0.95, 100, 100, {"x_min": 0.0, "y_min": 0.0, "x_max": float(width), "y_max": float(height)},
+                            [{"start": y * 100, "len": width} for y in range(height)]))
+            return pd.DataFrame(out, columns=["source_id", "raw_candidate_id", "score", "image_w", "image_h", "bbox", "runs"])
+        return run
+
+    def embed():
+        def run(pdf):
+            if (pdf["y_max"] == 20).any():
+                raise ValueError("no features")
+            pdf["vector"] = [[1.0 if i == round(w / 10) else 0.0 for i in range(1, 5)] for w in pdf["x_max"]]
+            pdf["local"] = [[x] for x in pdf["vector"]]
+            return pdf[["id", "source_id", "score", "vector", "local"]]
+        return run
+
+    stream = v.spark.readStream.schema(v.table("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(v.dir)
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
+    assets = stream.select(F.concat(path, F.lit("|"), "lang").alias("path"), path.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    live.start_resolution(assets, f"{base}/root", Plugins(segment, embed), Params(), "run", datetime(2024, 5, 1), f"{base}/checkpoint", True).awaitTermination()
+    t = ledger.read_ledger(v.spark, f"{base}/root")
+    null = F.lit(None).cast("string")
+    rows = {"runs": ("status", null), "source_images": ("status", F.col("error_message")),
+            "proposals": ("status", F.coalesce("target_id", "error_message")), "objects": ("status", F.col("summary.object_name_zh")),
+            "observations": ("object_id", F.col("source_id")), "decisions": ("decision", F.col("matched_object_id"))}
+    return union_all([t[n].select(F.lit(n).alias("part"), "id", F.col(state).alias("state"), ref.alias("ref")) for n, (state, ref) in rows.items()])

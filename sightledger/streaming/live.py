@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sightledger.operators.events import terminal_state
 from sightledger.operators.registration import register_sources
+from sightledger.params import Params
+from sightledger.plans.run import Plugins, run_assets
 from sightledger.sources.events import stream_events
 
 __all__ = [
     "stream_events", "live_state", "run_live_state", "start_live_state", "start_ingestion",
-    "start_terminal_state",
+    "start_resolution", "start_terminal_state",
 ]
 
 
@@ -97,3 +100,21 @@ def start_ingestion(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_resolution(
+    incoming: DataFrame, root: str, plugins: Plugins, p: Params, prefix: str, at: datetime, checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Arriving assets (path, name, content) become runs: one per micro-batch, named after it.
+
+    A batch meets the sources, objects and views of all earlier ones in the ledger at ``root``. Its number is its
+    run id, so a batch that is replayed goes on where its run was stopped, and changes nothing if that was closed.
+    """
+    def resolve(batch: DataFrame, batch_id: int) -> None:
+        run_assets(batch.sparkSession, root, batch, plugins, p, f"{prefix}_{batch_id}", at)
+
+    writer = incoming.writeStream.option("checkpointLocation", checkpoint).foreachBatch(resolve)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
