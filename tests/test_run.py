@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightledger.operators import review as R
 from sightledger.params import Params
 from sightledger.plans import resolve as RS, run as RUN
 from sightledger.sources import ledger as L
@@ -163,6 +164,17 @@ def test_killed_after_a_batch_and_started_again(spark, tmp_path, monkeypatch):
     out = RUN.run_directory(spark, root, str(folder), RUN.Plugins(never, never), P, "run_1", AT)
     assert six(spark, root) == want and {r.status for r in out.collect()} == {"completed"}
     assert spark.read.json(f"{root}/reports").groupBy("section").count().count() == 3
+    # A later run meets the objects of the first; content that is known is a duplicate.
+    second = tmp_path / "more"
+    second.mkdir()
+    image(second, "same.png", json.loads((folder / "1.png").read_text()))
+    image(second, "near.png", [["n", .97, (2, 2, 32, 6)]])
+    objects = L.read_ledger(spark, root)["objects"].select("id").distinct().count()
+    out = RUN.run_directory(spark, root, str(second), plug, P, "run_2", AT)
+    assert [r.status for r in out.collect()] == ["completed"]
+    t = L.read_ledger(spark, root)
+    assert t["objects"].select("id").distinct().count() == objects and t["runs"].count() == 2
+    assert t["decisions"].filter(F.col("decision") == "existing").count() >= 1
 
 
 def test_failures_of_the_plug_ins(spark, tmp_path):
@@ -178,26 +190,18 @@ def test_failures_of_the_plug_ins(spark, tmp_path):
     assert len(lost) == 1 and lost[0].error_message == "ValueError: no features"
     assert t["decisions"].count() == 5
 
+
+def test_unloadable_function_fails_all_that_were_at_work(spark):
     def unloadable():
         raise RuntimeError("no weights")
 
-    root = str(tmp_path / "second")
-    RUN.run_directory(spark, root, str(folder), RUN.Plugins(segmenter(), unloadable), P, "run_1", AT)
-    t = L.read_ledger(spark, root)
-    assert {r.status for r in t["source_images"].collect()} == {"failed"} and t["decisions"].count() == 0
-    assert {r.error_message for r in t["proposals"].filter("status = 'failed'").collect()} == {"RuntimeError: no weights"}
-
-
-def test_later_run_meets_the_objects_of_the_first(spark, tmp_path):
-    root, plug = str(tmp_path / "ledger"), RUN.Plugins(segmenter(), embedder())
-    first, second = folder_of(tmp_path), tmp_path / "more"
-    second.mkdir()
-    image(second, "same.png", json.loads((first / "1.png").read_text()))
-    image(second, "near.png", [["n", .97, (2, 2, 32, 6)]])
-    RUN.run_directory(spark, root, str(first), plug, P, "run_1", AT)
-    objects = L.read_ledger(spark, root)["objects"].select("id").distinct().count()
-    out = RUN.run_directory(spark, root, str(second), plug, P, "run_2", AT)
-    assert [r.status for r in out.collect()] == ["completed"]      # the same content is a duplicate
-    t = L.read_ledger(spark, root)
-    assert t["objects"].select("id").distinct().count() == objects
-    assert t["decisions"].filter(F.col("decision") == "existing").count() >= 1 and t["runs"].count() == 2
+    rows = spark.createDataFrame([("p1", "s1", .9), ("p2", "s2", .9)], "id string, source_id string, score double")
+    prints = R.guarded(rows, unloadable, RUN.FINGERPRINT_SQL, ("id", "source_id"))
+    assert {(r.id, r.error, r.error_kind) for r in prints.collect()} == {(i, "RuntimeError: no weights", "load") for i in ("p1", "p2")}
+    kinds = "source_id string, error string, error_kind string"
+    working = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "source_id string")
+    image = spark.createDataFrame([("s1", "ValueError: dark", "row"), ("s2", None, None)], kinds)
+    found = RUN._source_errors(image, prints, working)
+    assert {tuple(r) for r in found.collect()} == {("s1", "ValueError: dark"), ("s2", "RuntimeError: no weights")}
+    found = RUN._source_errors(spark.createDataFrame([("s1", "RuntimeError: x", "load")], kinds), prints.limit(0), working)
+    assert {tuple(r) for r in found.collect()} == {(s, "RuntimeError: x") for s in ("s1", "s2", "s3")}
