@@ -243,6 +243,44 @@ def test_neighbours_odd_vectors(spark):
     assert ann.neighbours(frame.limit(0), frame).count() == 0 and ann.neighbours(frame, frame.limit(0)).count() == 0
 
 
+def test_neighbours_repeated_ids(spark):
+    """Rows that share an id keep their own neighbours; no candidate comes twice."""
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 9.0]), (1, [0.0, 9.0]), (4, [0.0, 2.0]), (5, [0.0, 8.0])]
+    frame = ann.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(frame, frame.filter("vec_id = 1")).collect())
+    assert got == [(1, 1, 4, 1.0), (1, 1, 5, 1.0), (1, 2, 4, 7.0), (1, 2, 5, 7.0)]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.neighbours(frame, frame.filter("vec_id = 4")).collect())
+    assert got == [(1, 1, 1.0), (2, 5, 6.0), (3, 1, 7.0), (4, 1, 7.0)]
+
+
+def test_neighbours_extreme_vectors(spark):
+    """Squares beyond the range of doubles lose no row; vectors of a rare length take no part."""
+    big = 1.5e308
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [3e-200, 4e-200]), (3, [1e-200, 4e-200]), (4, [big, 0.0]), (5, [-big, 0.0]),
+            (6, [1.0]), (7, [1.0, 2.0, 3.0]), (8, [])]
+    frame = ann.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in ann.neighbours(frame, frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(got) == [0, 1, 2, 3, 4, 5] and all(len(v) == 5 for v in got.values())
+    assert got[2][0] == (3, pytest.approx(2e-200)) and got[0][0] == (1, 1e200)
+    assert got[0][1:3] == [(2, pytest.approx(2 ** 0.5 * 1e200)), (3, pytest.approx(2 ** 0.5 * 1e200))]
+    assert got[4][-1] == (5, float("inf")) and got[5][-1] == (4, float("inf"))
+    assert not any(np.isnan(score) for v in got.values() for _, score in v)
+
+
+def test_neighbours_recall_of_all_queries(spark):
+    """Recall over the whole query set of the registered query, not only over the calibrated ones."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    frame = ann.clean(table).cache()
+    rows = [(r.vec_id, r.v) for r in frame.collect()]
+    asked = sorted(i for i, _ in rows if i % 100 == 0)
+    worst = {q: s for q, n, _, s in brute_neighbours(rows, asked, 10) if n == 10}
+    got = ann.neighbours(frame, frame.filter("vec_id % 100 = 0")).collect()
+    assert len(got) == 10 * len(asked)
+    assert sum(r.score <= worst[r.query_id] for r in got) >= 0.95 * len(got)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
