@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,9 +60,18 @@ _PLACEHOLDER = re.compile(r"(?i)change.?me|place.?holder|example|dummy|sample|re
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
 _TEST_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|doc")
 _WORD = re.compile(r"[A-Za-z]{3,}")
+# What is written before a digest, an id or a block of encoded data; and values of such a form.
+_HARMLESS = re.compile(r"(?i)(?<![a-z])(commit|revision|rev|sha-?\d*|md5|crc\d*|digest|checksum|hash|etag|integrity|fingerprint|uuid|guid|"
+                       r"(?:run|trace|request|build|job|object)(?:[_-]?id)?|base64)[\W_]{0,3}$")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_ENCODED = re.compile(r"(?i)data:[a-z]+/[a-z0-9.+-]+;base64,$")
+_NAME_LIKE = re.compile(r"[A-Za-z][a-z]+([A-Z][a-z]+)+|[A-Za-z]+([_.-][A-Za-z]+)+")
+_NEAR = re.compile(r"[A-Za-z0-9]+")
+NEAR_CELLS = 16           # cells of the neighbouring words
 
 FEATURES = ("length", "lower", "upper", "digits", "other", "hex", "entropy", "runs", "transitions", "coverage", "longest_word",
-            "dots", "at", "assigned", "key_before", "quoted", "words_before", "words_after", "path_test", "path_length")
+            "dots", "at", "assigned", "key_before", "quoted", "words_before", "words_after", "path_test", "path_length", "digest_before", "uuid", "encoded_before", "name_like",
+            *(f"near_{i}" for i in range(NEAR_CELLS)))
 
 
 @dataclass
@@ -121,14 +131,26 @@ def features(value: str, before: str, after: str, path: str, language: Language)
             float((kind[1:] != kind[:-1]).sum()) / n, float(language.pairs[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0,
             covered / n, longest, value.count("."), value.count("@"), float(bool(_ASSIGN.search(before))),
             float(bool(_KEY.search(_ASSIGN.sub("", before).rstrip()))), float(before[-1:] in "\"'" and before != ""),
-            len(before.split()), len(after.split()), float(bool(_TEST_PATH.search(path))), len(path)]
+            len(before.split()), len(after.split()), float(bool(_TEST_PATH.search(path))), len(path),
+            float(bool(_HARMLESS.search(before))), float(bool(_UUID.fullmatch(value))), float(bool(_ENCODED.search(before))),
+            float(bool(_NAME_LIKE.fullmatch(value))), *_neighbours(before, after)]
+
+
+def _neighbours(before: str, after: str) -> list[float]:
+    """The three words before and the one after a value, hashed to cells; nearer ones weigh more."""
+    cells = [0.0] * NEAR_CELLS
+    words = [(d, w) for d, w in enumerate(reversed(_NEAR.findall(before)[-3:]))] + [(1, w) for w in _NEAR.findall(after)[:1]]
+    for distance, word in words:
+        cells[zlib.crc32(word.lower().encode()) % NEAR_CELLS] += 1 / (1 + distance)
+    return cells
 
 
 def weak_label(value: str, before: str, path: str = "") -> int | None:
     """A finding's label where nobody labelled it; None if there is no evidence.
 
     Secrets are fixed formats and values with digits assigned to a telling name, unless the path is a test's.
-    Placeholders are none. Opaque values without a name, and named words, can be either and train nothing.
+    Placeholders are none, nor are hexadecimal digests and ids after their own names and encoded images. Opaque values
+    without a name, and named words, can be either and train nothing.
     """
     if _FORMATS.fullmatch(value):
         return 1
@@ -136,6 +158,8 @@ def weak_label(value: str, before: str, path: str = "") -> int | None:
         return 0
     if _ASSIGN.search(before) and _KEY.search(_ASSIGN.sub("", before).rstrip()):
         return 1 if any(c.isdigit() for c in value) and not _TEST_PATH.search(path) else None
+    if _ENCODED.search(before) or _HARMLESS.search(before) and not set(value.lower()) - set("0123456789abcdef-"):
+        return 0
     letters = any(c.isalpha() for c in value)
     return None if letters and _OPAQUE.fullmatch(value) and len(set(value)) >= 10 else 0
 
@@ -262,12 +286,43 @@ _POOLS = ("0123456789abcdef", _LETTERS + _LETTERS.upper() + "0123456789", _LETTE
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth")
 _PLAIN_NAMES = ("page", "lang", "user", "host", "ref", "title", "path", "version")
 _FRAMES = (('{} = "', '"'), ("{}=", ""), ("{}: ", ""), ('{{"{}":"', '","id":"a"}}'), ("https://a.io/b?{}=", "&next=c"), ("{} ", ""))
+_DIGEST_FRAMES = (("commit ", ""), ("rev ", ""), ("revision=", ""), ("sha1: ", ""), ("sha256:", ""), ("sha-512 ", ""), ("md5: ", ""), ('md5="', '"'),
+                  ('checksum="', '"'), ("digest: ", ""), ('etag: "', '"'), ("hash=", ""), ("fingerprint ", ""), ("@sha256:", ""))
+_ID_FRAMES = (("", ""), ("id=", ""), ("run ", ""), ("request_id: ", ""), ('{"uuid":"', '","page":1}'), ("trace-id ", ""), ("/objects/", "/view"))
+_BLOCK_FRAMES = (("data:image/png;base64,", ""), ('src="data:image/jpeg;base64,', '"'), ("url(data:font/woff2;base64,", ")"), ("data:image/gif;base64,", ""))
+_OPAQUE_MADE = 12         # opaque harmless values of a document
+
+
+def _harmless(rng, plain):
+    """(before, value, after) of a value that looks random or machine-made and is no secret: a digest behind its name, an id,
+    an encoded image, an identifier or a file path built from real words."""
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    kind = rng.randrange(5 if plain else 3)
+    if kind == 0:
+        before, after = rng.choice(_DIGEST_FRAMES)
+        return before, some(_POOLS[0], rng.choice((8, 10, 12, 32, 40, 40, 56, 64, 64, 96, 128))), after
+    if kind == 1:
+        before, after = rng.choice(_ID_FRAMES)
+        value = "-".join(some(_POOLS[0], n) for n in (8, 4, 4, 4, 12))
+        return before, value.upper() if rng.random() < 0.2 else value, after
+    if kind == 2:
+        before, after = rng.choice(_BLOCK_FRAMES)
+        return before, some(_POOLS[1] + "+/", rng.randrange(12, 400)), after
+    words = [rng.choice(plain)[:rng.randrange(2, 10)].lower() for _ in range(rng.randrange(2, 5))]
+    if kind == 3:
+        form = rng.randrange(5)
+        value = ("_".join(words), words[0] + "".join(w.title() for w in words[1:]), ".".join(words), "_".join(words).upper(),
+                 "".join(w.title() for w in words))[form]
+        return rng.choice((("", ""), ("", ""), ("call ", ""), ("def ", "(self)"), ("name=", ""), ("`", "`")))[0], value.ljust(LEAST, "s"), ""
+    return rng.choice(("", "/", "path=", "file: ")), "/".join(words) + rng.choice((".py", ".txt", "/index.html", "", "_v2.csv")) + "s" * 4, ""
 
 
 def made(docs: DataFrame, language: Language, path: str = "source") -> DataFrame:
     """Findings whose label is known because they are made: random keys of many shapes between real words, with and
     without a name, as secrets; real words behind any name, some with a number, as harmless. Columns as in ``findings``.
 
+    Digests behind their names, ids, encoded images, identifiers and paths are made as harmless opaque values.
+    Rows without an id are left out, null and empty texts give nothing, repeated rows give equal findings.
     A corpus shows the forest only the shapes that it holds. About MADE_DOCS documents are used, whatever their number.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("value", pa.string()), ("features", pa.list_(pa.float64())), ("label", pa.int32())])
@@ -303,6 +358,11 @@ def made(docs: DataFrame, language: Language, path: str = "source") -> DataFrame
                         head, tail = rng.choice(_FRAMES)
                         before, after = before + head.format(rng.choice(_PLAIN_NAMES if n > 11 else _NAMES)), tail + after
                     out.append((doc_id, value, features(value, before[-_CONTEXT:], after[:_CONTEXT], where, language), label))
+                for _ in range(_OPAQUE_MADE if words else 0):
+                    at = rng.randrange(len(words))
+                    before, after = " ".join([*words[max(0, at - 12):at], ""]), " ".join(["", *words[at:at + 12]])
+                    head, value, tail = _harmless(rng, plain)
+                    out.append((doc_id, value, features(value, (before + head)[-_CONTEXT:], (tail + after)[:_CONTEXT], where, language), 0))
             if out:
                 yield B.record(schema, *zip(*out))
 
@@ -431,7 +491,11 @@ def scan(docs: DataFrame, language: Language, forest: Forest, path: str = "sourc
 
 
 def redact(docs: DataFrame, language: Language, forest: Forest, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """All columns of ``docs``; each secret in the text is replaced by ``mark``, everything else stays as it is."""
+    """All columns of ``docs``; each secret in the text is replaced by ``mark``, everything else stays as it is.
+
+    Null and empty texts stay so, repeated rows change alike, an empty table stays empty; other columns, whatever their
+    names, are passed through. Of overlapping secrets the one that starts first gives the mark, up to the end of the last.
+    """
     names = docs.columns
 
     def run(batches):
@@ -462,7 +526,7 @@ def redact(docs: DataFrame, language: Language, forest: Forest, path: str = "sou
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> tuple[Language, Forest]:
     """Language of all texts, and a forest from labelled findings (weak labels of these documents and made findings if
-    none are given)."""
+    none are given). A table without texts gives a forest that calls nothing a secret but the fixed formats."""
     language = learn_language(docs)
     if labelled is None:
         labelled = findings(docs, language, path).unionByName(made(docs, language, path))

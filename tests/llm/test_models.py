@@ -198,6 +198,33 @@ def test_planted_secrets(spark):
     assert min(recall.values()) > 0.8 and right / len(got) > 0.9
 
 
+def harmless(rng):
+    """kind -> text with an opaque value that is no secret. Digest names are among those that ``made`` draws; identifiers are not."""
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    hexes, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    uuid = "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
+    names = ["max_records_per_batch", "getElementById", "MAX_QUEUE_DEPTH", "http.client.HTTPConnection", "setUpTestDatabase", "user-agent-string"]
+    return {"uuid": f"see {uuid} there", "commit": f"added in commit {some(hexes, 40)} yesterday", "md5": f"md5: {some(hexes, 32)}",
+            "sha256": f"image@sha256:{some(hexes, 64)}", "image": f"logo data:image/webp;base64,{some(base, 150)}== end", "name": f"use {rng.choice(names)} here",
+            "session": f"job 17 of run {uuid} ended"}
+
+
+def test_opaque_values_that_are_no_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    language, forest = secrets.fit(docs.filter(~toxicity.held_out()))
+    rng, rows, kinds = random.Random(9), [], {}
+    texts = docs.filter(toxicity.held_out() & F.col("text").isNotNull() & ~F.col("text").contains("token = ")).select("doc_id", "text")
+    for r in texts.orderBy("doc_id").limit(150).collect():
+        for n, (kind, text) in enumerate(harmless(rng).items()):
+            rows.append((r.doc_id * 10 + n, f"{r.text[:200]} {text} {r.text[200:400]}", "src"))
+            kinds[r.doc_id * 10 + n] = kind
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), language, forest).filter("is_secret").collect()
+    flagged = {r.doc_id for r in got}
+    share = {k: np.mean([i in flagged for i in kinds if kinds[i] == k]) for k in set(kinds.values())}
+    print("flagged", share)
+    assert max(share.values()) < 0.05, share
+
+
 def test_overlapping_secrets_give_one_mark(spark):
     always = secrets.Forest("Tree 0\nPredict: 1.0")
     language = secrets.Language(np.zeros((256, 256), np.float32), np.zeros(1 << secrets.SLOT_BITS, bool))
