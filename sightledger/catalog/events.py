@@ -8,7 +8,7 @@ from sightledger.catalog.registry import query
 from sightledger.operators import events as E
 from sightledger.session import shared_dir
 from sightledger.sources.events import parse_event_lines
-from sightledger.streaming.live import run_live_state
+from sightledger.streaming.live import run_live_state, run_terminal_state
 
 EVENTS = """
 ev AS (
@@ -133,3 +133,31 @@ def live_run_state(v):
     return state.select(F.col("run_id").cast("long").alias("user_id"), "last_sequence", "last_event",
                         F.round("elapsed_seconds", 3).alias("elapsed_seconds"),
                         F.round("overall_percent", 3).alias("overall_percent"), "message")
+
+
+@query("silent_runs", """
+WITH ev AS (
+  SELECT 'run_' || user_id AS run_id, event_id, ts, CASE WHEN event_type = 'error' THEN 'cli_completed' ELSE 'progress' END AS event,
+    CASE WHEN event_type <> 'error' THEN 'running' WHEN json_extract(props, '$.k')::INT % 2 = 0 THEN 'passed' ELSE 'failed' END AS status FROM events),
+l AS (SELECT run_id, arg_max(event, event_id) = 'cli_completed' AS closed, arg_max(status, event_id) AS stage_status,
+        arg_max(ts, event_id) AS last_event_at, max(ts) AS seen FROM ev GROUP BY 1),
+rep AS (SELECT 'run_' || n_nationkey AS run_id, (['passed', 'failed', 'completed_with_errors'])[(n_nationkey % 3 + 1)] AS rs FROM nation),
+j AS (SELECT l.*, rs, coalesce(rs IN ('failed', 'completed_with_errors'), false) AS formal FROM l LEFT JOIN rep USING (run_id)
+      WHERE closed OR epoch_ms(seen) + 86400000 < epoch_ms((SELECT max(ts) FROM events))),
+d AS (SELECT *, closed AND stage_status = 'passed' AS done FROM j)
+SELECT run_id, CASE WHEN done THEN 'completed' ELSE 'failed' END AS status, CASE WHEN closed THEN stage_status WHEN formal THEN rs END AS result_status,
+  NOT done AND NOT formal AS unexpected_exit, CASE WHEN closed THEN last_event_at END AS completed_at FROM d""")
+def silent_runs(v):
+    """The streaming form: runs end by their closing event, or by a day without one while others report."""
+    source = v.table("events")
+    stream = v.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(v.dir)
+    k = F.get_json_object("props", "$.k").cast("int")
+    closing = F.col("event_type") == "error"
+    events = stream.select(
+        F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("sequence"),
+        F.when(closing, "cli_completed").otherwise("progress").alias("event"),
+        F.when(~closing, "running").when(k % 2 == 0, "passed").otherwise("failed").alias("status"),
+        F.col("value").alias("elapsed_seconds"), F.col("ts").alias("timestamp_utc"))
+    ended = run_terminal_state(events, v.reports().select("run_id", "status"), shared_dir(v.spark), 86_400)
+    return ended.select("run_id", "status", "result_status", "unexpected_exit",
+                        F.col("completed_at").cast(source.schema["ts"].dataType).alias("completed_at"))
