@@ -272,16 +272,21 @@ def latest_run(v):
 
 @query("library_health", f"""
 WITH {LEDGER},
-man AS (SELECT n_nationkey AS lib, n_nationkey = 3 AS active, n_nationkey = 4 AS is_file, n_nationkey = 5 AS link, n_nationkey % 6 <> 0 AS has_db,
-   n_nationkey <> 7 AS readable, CASE WHEN n_nationkey = 8 THEN 9 WHEN n_nationkey % 4 = 1 THEN 2 ELSE 3 END AS ver,
-   n_nationkey % 5 = 2 AS no_dirs, n_nationkey % 12 = 0 AS content FROM nation),
-rk AS (SELECT replace(id, 'run_', '')::INT % 25 AS lib, * FROM runs),
-rl AS (SELECT lib, count(*) AS n, max(started_at) AS latest, bool_or(lib % 3 <> 1 AND status <> 'completed') AS bad FROM rk GROUP BY 1),
-ol AS (SELECT replace(id, 'obj_', '')::INT % 25 AS lib, count(*) FILTER (WHERE status = 'active') AS n FROM objects GROUP BY 1),
-bl AS (SELECT replace(object_id, 'obj_', '')::INT % 25 AS lib, count(*) AS n FROM observations GROUP BY 1),
-j AS (SELECT man.*, rl.n AS runs, rl.latest, rl.bad, ol.n AS objs, bl.n AS obs FROM man LEFT JOIN rl USING (lib) LEFT JOIN ol USING (lib) LEFT JOIN bl USING (lib)),
+man AS (SELECT o_orderkey AS lib, o_orderkey % 25 = 3 AS active, o_orderkey % 25 = 4 AS is_file, o_orderkey % 25 = 5 AS link,
+   o_orderkey % 6 <> 0 AS has_db, o_orderkey % 25 <> 7 AS readable,
+   CASE WHEN o_orderkey % 25 = 8 THEN 9 WHEN o_orderkey % 4 = 1 THEN 2 ELSE 3 END AS ver,
+   o_orderkey % 5 = 2 AS no_dirs, o_orderkey % 12 = 0 AS content FROM orders),
+rk AS (SELECT s.id AS sid, r.id, r.status, r.started_at FROM source_images s JOIN runs r ON r.id = s.run_id
+   UNION ALL SELECT 'src_' || replace(id, 'run_', ''), id, status, started_at FROM runs),
+rl AS (SELECT replace(sid, 'src_', '')::BIGINT AS lib, count(*) AS n, max(started_at) AS latest, bool_or(status <> 'completed') AS bad FROM rk GROUP BY 1),
+sl AS (SELECT replace(id, 'src_', '')::BIGINT AS lib, bool_or(status <> 'completed') AS bad FROM source_images GROUP BY 1),
+pl AS (SELECT replace(source_id, 'src_', '')::BIGINT AS lib, bool_or(status IN ('pending', 'failed')) AS bad FROM proposals GROUP BY 1),
+ol AS (SELECT replace(id, 'obj_', '')::BIGINT AS lib, count(*) FILTER (WHERE status = 'active') AS n FROM objects GROUP BY 1),
+bl AS (SELECT replace(source_id, 'src_', '')::BIGINT AS lib, count(*) AS n FROM observations GROUP BY 1),
+j AS (SELECT man.*, rl.n AS runs, rl.latest, coalesce(rl.bad, false) OR coalesce(sl.bad, false) OR coalesce(pl.bad, false) AS bad, ol.n AS objs, bl.n AS obs
+   FROM man LEFT JOIN rl USING (lib) LEFT JOIN sl USING (lib) LEFT JOIN pl USING (lib) LEFT JOIN ol USING (lib) LEFT JOIN bl USING (lib)),
 x AS (SELECT *, CASE WHEN active THEN NULL WHEN is_file THEN 'invalid_library_root' WHEN link THEN 'database_symlink'
-   WHEN has_db AND (NOT readable OR ver NOT IN (2, 3)) THEN 'database_unreadable' WHEN has_db AND coalesce(bad, false) THEN 'incomplete_run'
+   WHEN has_db AND (NOT readable OR ver NOT IN (2, 3)) THEN 'database_unreadable' WHEN has_db AND bad THEN 'incomplete_run'
    WHEN has_db AND no_dirs THEN 'missing_asset_directories' WHEN has_db AND ver < 3 THEN 'legacy_read_only'
    WHEN NOT has_db AND content THEN 'partial_without_database' END AS issue_code FROM j),
 y AS (SELECT *, coalesce(issue_code, '') IN ('invalid_library_root', 'database_symlink', 'database_unreadable') AS broken FROM x),
@@ -291,22 +296,23 @@ SELECT lib AS library_id, status, status IN ('ready', 'empty') AS continuable, i
   CASE WHEN shown THEN coalesce(objs, 0) ELSE 0 END AS active_objects, CASE WHEN shown THEN coalesce(obs, 0) ELSE 0 END AS observations,
   CASE WHEN shown THEN coalesce(runs, 0) ELSE 0 END AS runs, CASE WHEN shown THEN latest END AS latest_run_at FROM z""")
 def library_health(v):
-    n = F.col("n_nationkey")
+    """A library per order: its source and proposals, the run of its customer and the run of its own number."""
+    n = F.col("o_orderkey")
     dirs = F.array(*map(F.lit, ("sources", "proposals", "objects", "raw_responses", "run_reports")))
-    manifest = v.table("nation").select(
-        n.alias("library_id"), (n == 4).alias("root_is_file"), (n == 5).alias("database_is_link"),
-        (n % 6 != 0).alias("has_database"), (n != 7).alias("readable"),
-        F.when(n == 8, 9).when(n % 4 == 1, 2).otherwise(3).alias("schema_version"),
+    manifest = v.table("orders").select(
+        n.alias("library_id"), (n % 25 == 4).alias("root_is_file"), (n % 25 == 5).alias("database_is_link"),
+        (n % 6 != 0).alias("has_database"), (n % 25 != 7).alias("readable"),
+        F.when(n % 25 == 8, 9).when(n % 4 == 1, 2).otherwise(3).alias("schema_version"),
         F.when(n % 5 == 2, F.slice(dirs, 1, 3)).otherwise(dirs).alias("directories"),
-        (n % 12 == 0).alias("has_content"), (n == 3).alias("active"))
-    lib = lambda c: (F.regexp_extract(c, r"(\d+)", 1).cast("int") % 25)
-    runs = v.runs().withColumn("library_id", lib("id"))
-    runs = runs.withColumn("status", F.when(F.col("library_id") % 3 == 1, "completed").otherwise(F.col("status")))
-    done = runs.select("library_id", F.lit("completed").alias("status"))
-    decided = runs.select("library_id", F.lit("decided").alias("status"))
+        (n % 12 == 0).alias("has_content"), (n % 25 == 3).alias("active"))
+    lib = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long").alias("library_id")
+    sources = v.source_images()
+    runs = v.runs().select("id", "status", "started_at")
+    of_sources = sources.select(lib("id"), "run_id").join(runs, F.col("run_id") == runs["id"]).drop("run_id")
     return SM.library_health(
-        manifest, runs, done, decided, v.objects().withColumn("library_id", lib("id")),
-        v.observations().withColumn("library_id", lib("object_id")))
+        manifest, of_sources.unionByName(runs.withColumn("library_id", lib("id"))), sources.select(lib("id"), "status"),
+        v.proposals().select(lib("source_id"), "status"), v.objects().select(lib("id"), "status"),
+        v.observations().select(lib("source_id")))
 
 
 REPORT = """
