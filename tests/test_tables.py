@@ -25,7 +25,7 @@ def tables(folder, name, *parts):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ingestion_ledger"])
+@pytest.mark.parametrize("name", ["incremental_ingestion", "ingestion_ledger"])
 def test_documents_in_part_files_arrive(spark, tmp_path, name):
     parts = [f"SELECT * FROM '{{t}}' WHERE doc_id % 3 {op} 0" for op in ("=", "<>")]
     assert compare(spark, duck(SF), tables(tmp_path, "documents", *parts), name) is None
