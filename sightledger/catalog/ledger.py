@@ -82,10 +82,11 @@ def object_catalog(v):
 
 @query("latest_objects", """
 SELECT 'obj_' || l_partkey AS id, max(l_quantity) AS version,
-  arg_max(l_returnflag, l_quantity * 1000000000 + l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100) AS status
+  arg_max(l_returnflag, {'q': l_quantity, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'f': l_returnflag}) AS status
 FROM lineitem GROUP BY 1""")
 def latest_objects(v):
-    version = F.col("l_quantity") * 1000000000 + F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100
+    """The highest version is the highest quantity; order, line, supplier and flag decide between equal ones."""
+    version = F.struct("l_quantity", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
     rows = v.table("lineitem").select(
         F.concat(F.lit("obj_"), F.col("l_partkey").cast("string")).alias("id"), version.alias("version"),
         F.col("l_quantity").alias("summary"), F.col("l_returnflag").alias("status"), F.col("l_shipdate").alias("created_at"))

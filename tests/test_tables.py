@@ -29,3 +29,14 @@ def tables(folder, name, *parts):
 def test_documents_in_part_files_arrive(spark, tmp_path, name):
     parts = [f"SELECT * FROM '{{t}}' WHERE doc_id % 3 {op} 0" for op in ("=", "<>")]
     assert compare(spark, duck(SF), tables(tmp_path, "documents", *parts), name) is None
+
+
+def test_latest_objects_with_large_keys_and_equal_versions(spark, tmp_path):
+    """A later order does not outweigh a higher quantity; equal quantity, order, line and supplier leave nothing open."""
+    rows = "SELECT * REPLACE (l_orderkey + 30000000 * (l_orderkey % 3) AS l_orderkey) FROM '{t}'"
+    ties = rows.replace("* REPLACE (", "* REPLACE (CASE l_returnflag WHEN 'A' THEN 'R' ELSE 'A' END AS l_returnflag, ")
+    folder = tables(tmp_path, "lineitem", f"{rows} UNION ALL {ties}")
+    assert compare(spark, duck(folder), folder, "latest_objects") is None
+    (tmp_path / "other").mkdir()
+    shuffled = tables(tmp_path / "other", "lineitem", f"{ties} UNION ALL {rows}")
+    assert compare(spark, duck(folder), shuffled, "latest_objects") is None
