@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sightledger.functions.vectors import select_patches
 from sightledger.operators import candidates as C
 from sightledger.params import Params
 
@@ -63,3 +64,22 @@ def test_mask_overlaps_query_does_not_explode_runs(spark):
     from __spark_entry__ import queries
     plan = queries()["mask_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_select_patches_equals_pixels(spark):
+    rnd = random.Random(3)
+    rows = [(i, _mask(rnd), h) for i, h in enumerate([12, 12, 11, 7, 2, 12] * 5)]
+    rows += [(98, [], 12), (99, None, 12), (100, [(0, 12)], None)]
+    df = spark.createDataFrame(rows, f"k int, runs {RUNS}, h int")
+    picked = df.select("k", select_patches(F.col("runs"), SIDE, F.col("h"), 3, 0.4).alias("p"))
+    got = {r.k: {(c.r, c.c) for c in r.p} for r in picked.collect()}
+    for k, runs, h in rows:
+        cw, ch, want = SIDE // 3, (h or 0) // 3, set()
+        for r in range(3):
+            for c in range(3):
+                cell = {y * SIDE + x for y in range(r * ch, (r + 1) * ch) for x in range(c * cw, (c + 1) * cw)}
+                if cell and len(cell & _pixels(runs or [])) / len(cell) >= 0.4:
+                    want.add((r, c))
+        assert got[k] == want, k
+    # The cells are counted in Arrow batches, not run by run in interpreted expressions for each cell.
+    assert "ArrowEvalPython" in picked._jdf.queryExecution().executedPlan().toString()
