@@ -22,16 +22,21 @@ RESPONSE = T.StructType([
 ])
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response file, with the run taken from its directory."""
+def write_responses(responses: DataFrame, path: str) -> None:
+    """Responses (``run``, columns of RESPONSE) as lines, in a folder per run: files follow the tasks, not the responses."""
+    responses.write.partitionBy("run").json(path)
+
+
+def read_responses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per response file, with the run taken from its directory; with ``lines`` per line of `write_responses`."""
     df = (
-        spark.read.schema(RESPONSE).option("multiLine", "true")
+        spark.read.schema(RESPONSE).option("multiLine", str(not lines).lower())
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
         .withColumn("file", F.input_file_name())
     )
     parts = F.split("file", "/")
-    return df.withColumn("run_id", F.element_at(parts, -3)).withColumn(
-        "scope", F.coalesce("batch_id", "scope_id", F.element_at(parts, -2)))
+    scope = ["batch_id", "scope_id"] + ([] if lines else [F.element_at(parts, -2)])
+    return df.withColumn("run_id", F.element_at(parts, -2 if lines else -3)).withColumn("scope", F.coalesce(*scope))
 
 
 def response_predictions(responses: DataFrame) -> DataFrame:

@@ -40,3 +40,15 @@ def test_latest_objects_with_large_keys_and_equal_versions(spark, tmp_path):
     (tmp_path / "other").mkdir()
     shuffled = tables(tmp_path / "other", "lineitem", f"{ties} UNION ALL {rows}")
     assert compare(spark, duck(folder), shuffled, "latest_objects") is None
+
+
+def test_response_store_makes_no_file_per_response(spark, tmp_path, monkeypatch):
+    from sightledger.catalog import roundtrips
+    monkeypatch.setattr(roundtrips, "_folder", lambda v, kind: str(tmp_path / kind))
+    more = "SELECT * REPLACE (s_suppkey + 1000 * r AS s_suppkey) FROM (SELECT *, unnest(range(20)) AS r FROM '{t}')"
+    (tmp_path / "sf").mkdir()
+    folder = tables(tmp_path / "sf", "supplier", more.replace("*, unnest", "s.*, unnest").replace("'{t}'", "'{t}' s"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM '{folder}/supplier.parquet'")
+    assert compare(spark, con, folder, "response_store") is None
+    assert len(list((tmp_path / "responses").rglob("*.json"))) <= 3 * 8
