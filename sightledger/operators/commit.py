@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sightledger.functions.identity import hashed_id, resolve_identity
 from sightledger.functions.validators import codes
@@ -94,27 +94,34 @@ def commit_violations(
 ) -> DataFrame:
     """Clusters that must not be written, with the broken rules. All-or-nothing each."""
     m = members.select("cluster_id", F.col("id").alias("proposal_id"), "source_id")
-    source_state = sources.select(F.col("id").alias("source_id"), F.col("status").alias("_state"))
+    working = sources.filter(F.col("status") == "processing").select(
+        F.col("id").alias("source_id"), F.lit(True).alias("_working")).distinct()
     stored = stored_proposals.select(F.col("id").alias("proposal_id"), F.lit(True).alias("_stored"))
     obs = observations.select(
         "proposal_id", F.col("source_id").alias("_obs_source"), F.col("object_id").alias("_obs_object"))
+    # Everything keyed by proposal ends here, its own number in the cluster included: what goes on to the sources and
+    # the clusters is a few marks a member.
+    first = F.row_number().over(W.partitionBy("proposal_id", "cluster_id").orderBy("source_id")) == 1
     per_member = (
         m.join(decisions.select("proposal_id", "decision", "matched_object_id", F.lit(True).alias("_d")),
                "proposal_id", "left")
-        .join(obs, "proposal_id", "left").join(source_state, "source_id", "left")
-        .join(stored, "proposal_id", "left")
+        .join(obs, "proposal_id", "left").join(stored, "proposal_id", "left")
+        .select("cluster_id", "source_id", "matched_object_id", "_obs_object", "_d",
+                (first & F.col("proposal_id").isNotNull()).alias("_first"),
+                *[(F.col("decision") == w).alias(f"_{w}") for w in ("new", "existing", "uncertain")],
+                (F.col("_obs_source") != F.col("source_id")).alias("_moved"),
+                F.col("_stored").isNotNull().alias("_stored"))
+        .join(working, "source_id", "left")
     )
     stats = per_member.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("proposal_id").alias("ids"),
+        F.count(F.lit(1)).alias("n"), F.count_if("_first").alias("ids"),
         F.count("_d").alias("decided"), F.count("_obs_object").alias("observed"),
-        F.count_if(F.col("decision") == "new").alias("n_new"),
-        F.count_if(F.col("decision") == "existing").alias("n_existing"),
-        F.count_if(F.col("decision") == "uncertain").alias("n_uncertain"),
+        F.count_if("_new").alias("n_new"), F.count_if("_existing").alias("n_existing"),
+        F.count_if("_uncertain").alias("n_uncertain"),
         F.min("matched_object_id").alias("lo"), F.max("matched_object_id").alias("hi"),
         F.min("_obs_object").alias("olo"), F.max("_obs_object").alias("ohi"),
-        F.bool_or(F.col("_obs_source") != F.col("source_id")).alias("moved"),
-        F.bool_or(F.coalesce("_state", F.lit("")) != "processing").alias("closed"),
-        F.bool_or(F.col("_stored").isNotNull()).alias("repeated"),
+        F.bool_or("_moved").alias("moved"), F.bool_or(F.col("_working").isNull()).alias("closed"),
+        F.bool_or("_stored").alias("repeated"),
     )
     active = objects.filter(F.col("status") == "active").select(
         F.col("id").alias("object_id"), F.lit(True).alias("_active"))
