@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,37 @@ def test_suppression_against_brute_force(spark, greedy_rows):
     assert got == expect
 
 
+@pytest.mark.parametrize("width", [30, 7, None])
+def test_usual_images_are_solved_together(monkeypatch, width):
+    """All images of a batch go at once, also if masks cross the line ends of the stated width; no pass per image."""
+    def never(*args):
+        raise AssertionError("a pass for one image")
+
+    monkeypatch.setattr(C, "_solve_image", never)
+    p, rng, table, expect = Params(duplicate_iou=.6, containment=.7), random.Random(3), [], {}
+    for img in range(12):
+        rows = []
+        for k in range(rng.randrange(1, 40)):
+            x, y = rng.randrange(15), rng.randrange(15)
+            rows.append((f"c{k:02d}", round(rng.random() * 4) / 4, (x, y, x + rng.randrange(2, 14), y + rng.randrange(2, 14))))
+            runs = rect(*rows[-1][2], 30)
+            table.append({"source_id": f"i{img}", "id": f"i{img}-c{k:02d}", "raw_candidate_id": f"c{k:02d}", "score": rows[-1][1],
+                          "area": sum(n for _, n in runs), "width": width, "starts": [s for s, _ in runs], "lens": [n for _, n in runs],
+                          "early_reason": None})
+        for k, v in brute(rows, p, 30).items():
+            expect[f"i{img}-{k}"] = v
+        table.append({**table[-1], "id": f"lost{img}", "score": 2.0, "starts": None, "lens": None, "early_reason": "invalid_bbox"})
+        expect[f"lost{img}"] = ("invalid_bbox", "")
+    rng.shuffle(table)
+    schema = pa.schema({"source_id": "string", "id": "string", "raw_candidate_id": "string", "score": "double", "area": "int64",
+                        "width": "int64", "starts": pa.list_(pa.int64()), "lens": pa.list_(pa.int32()), "early_reason": "string"})
+    got = {}
+    for r in C._solve_batch(pa.Table.from_pylist(table, schema), p, ["id"]).to_pylist():
+        kind, _, ref = (r["filter_reason"] or "").partition(":")
+        got[r["id"]] = (kind, ref.partition("-")[2]) if kind else (None, r["kept_rank"])
+    assert got == expect
+
+
 def test_point_grid_and_best_mask(spark):
     images = spark.createDataFrame([("s", 8, 6)], "source_id string, image_w int, image_h int")
     pts = [(r.raw_candidate_id, r.x, r.y) for r in masks.point_grid(images, 2).orderBy("point_index").collect()]
