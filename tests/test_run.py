@@ -82,6 +82,15 @@ def test_new_views_in_tiles_and_merged_pieces_change_nothing(spark, monkeypatch)
     assert sorted((r.proposal_id, r.decision, r.evidence) for r in other.decisions.collect()) == want
 
 
+def test_batches_of_more_members_than_one_task_takes_go_at_once():
+    from sightledger.plans import maxima
+
+    sizes = {b: 3000 for b in range(1, 101)}
+    assert RS._window(sizes, 1, 30, maxima.WINDOW_ROWS) == 30
+    assert RS._window(sizes, 1, 100, maxima.WINDOW_ROWS) == maxima.WINDOW_ROWS // 3000
+    assert RS._window(sizes, 5, 100, maxima.SENT_VIEWS) == 5
+
+
 # --- whole runs over files -------------------------------------------------
 
 def image(folder, name, boxes):
