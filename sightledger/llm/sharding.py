@@ -2,8 +2,10 @@
 
 Rows hash on their key to 60 bits. A directory over the first bits of the hash names the bucket of every
 prefix; a bucket that is over the byte limit splits on its next bit, all others stay. The directory is
-found from byte sums per prefix, ``STRIDE`` bits at a time: one small aggregate gives all the splits of a
-stride, and only prefixes that are still too large are looked at in the next one.
+found from byte sums per prefix, ``STRIDE`` bits first and then ``STEP`` bits at a time: one small aggregate
+gives all the splits of a step, and only prefixes that are still too large are looked at in the next one.
+Beyond the first step a directory has at most 2^``STEP`` rows per prefix that was too large, so it grows with
+the buckets and not with the rows; one of more than ``SENT_ROWS`` rows is never sent to the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from sightledger.session import distributed_row_number
 
 BITS = 60
 STRIDE = 12
+STEP = 4
+SENT_ROWS = 1 << 17  # rows of a directory that may be broadcast, a few MB
 ROW_BYTES = 16  # what a row costs besides its text
 
 
@@ -23,9 +27,8 @@ def _hash(key: str):
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
-def _directory(open_rows: DataFrame, low: int, limit: int) -> DataFrame:
-    """(cell, depth) for prefixes of ``low + STRIDE`` bits; depth is null where even those are too large."""
-    high = low + STRIDE
+def _directory(open_rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
+    """(cell, depth) for prefixes of ``high`` bits; depth is null where even those are too large."""
     cells = open_rows.groupBy(F.shiftright("__h", BITS - high).alias("cell")).agg(
         F.sum("__bytes").alias("bytes"), F.count("*").alias("n"))
     cells = B.table(cells)
@@ -34,8 +37,14 @@ def _directory(open_rows: DataFrame, low: int, limit: int) -> DataFrame:
     buckets = paths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     # A single row over the limit cannot be split further.
     fits = buckets.filter((F.col("bytes") <= limit) | (F.col("n") == 1)).select("depth", "prefix")
-    fit = paths.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    return B.table(cells.select("cell").join(fit, "cell", "left"))
+    # The first step has 2^(STRIDE + 1) buckets at most.
+    fit = paths.join(_met(fits, low == 0), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    return B.table(cells.select("cell").join(_met(fit, low == 0), "cell", "left"))
+
+
+def _met(right: DataFrame, small: bool) -> DataFrame:
+    """The right side of a join, sent to all tasks or shuffled: file sizes say little about rows, so no plan chooses."""
+    return F.broadcast(right) if small else right.hint("merge")
 
 
 def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,29 +60,29 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], _hash(key).alias("__h"), size.alias("__bytes"))
     small = B.table(rows.select("__h", "__bytes"))
 
-    waiting, done, low = rows, [], 0
+    low, depth = 0, F.lit(None).cast("int")
     while low < BITS and not small.isEmpty():
-        directory = _directory(small, low, limit).select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"))
-        cell = F.shiftright("__h", BITS - low - STRIDE)
-        # The first directory has 2^STRIDE rows at most; later ones grow with the data and are not broadcast.
-        known = F.broadcast(directory) if low == 0 else directory
-        waiting = waiting.withColumn("__cell", cell).join(known, "__cell").drop("__cell")
-        done.append(waiting.filter("__depth is not null"))
-        waiting = waiting.filter("__depth is null").drop("__depth")
-        open_cells = directory.filter("__depth is null").select("__cell")
+        high = STRIDE if low == 0 else low + STEP
+        directory = _directory(small, low, high, limit)
+        few = directory.count() <= SENT_ROWS
+        cell = F.shiftright("__h", BITS - high)
+        # Cells of later directories begin with an open one, so a row has a depth in one of them at most.
+        known = directory.select(F.col("cell").alias("__cell"), F.col("depth").alias(f"__depth{high}"))
+        rows = rows.withColumn("__cell", cell).join(_met(known, few), "__cell", "left").drop("__cell")
+        depth = F.coalesce(depth, F.col(f"__depth{high}"))
+        open_cells = directory.filter("depth is null").select(F.col("cell").alias("__cell"))
         if open_cells.isEmpty():
             small = small.limit(0)
             break
-        small = B.table(small.withColumn("__cell", cell).join(open_cells, "__cell", "left_semi").drop("__cell"))
-        low += STRIDE
-    out = [d.withColumn("page", F.lit(0).cast("long")) for d in done]
-    if not small.isEmpty():
-        out.append(_pages(waiting, limit, text).withColumn("__depth", F.lit(BITS)))
-    if not out:
-        out.append(rows.withColumn("__depth", F.lit(0)).withColumn("page", F.lit(0).cast("long")))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
+        small = B.table(small.withColumn("__cell", cell).join(_met(open_cells, few), "__cell", "left_semi").drop("__cell"))
+        low = high
+    rows = rows.withColumn("__depth", depth)
+    if small.isEmpty():
+        result = rows.withColumn("__depth", F.coalesce("__depth", F.lit(0))).withColumn("page", F.lit(0).cast("long"))
+    else:
+        done = rows.filter("__depth is not null").withColumn("page", F.lit(0).cast("long"))
+        pages = _pages(rows.filter("__depth is null").drop("__depth"), limit, text).withColumn("__depth", F.lit(BITS))
+        result = done.unionByName(pages)
     return result.select(
         *[F.col(f"`{c}`") for c in names], F.col("__bytes").alias("n_bytes"), F.col("__depth").cast("int").alias("local_depth"),
         F.concat(F.lit("b"), F.expr(f"substring(lpad(bin(__h), {BITS}, '0'), 1, __depth)")).alias("shard"), "page")

@@ -261,6 +261,28 @@ def test_sharding(spark):
     assert sharding.assign(frame(spark, rows).limit(0), 2000).count() == 0
 
 
+def test_sharding_directories_follow_buckets_and_are_not_all_sent(spark, monkeypatch):
+    """Directories beyond the first grow with the buckets, not the rows, and large ones are joined by shuffling."""
+    made, directory = [], sharding._directory
+    monkeypatch.setattr(sharding, "_directory", lambda *a: made.append(directory(*a)) or made[-1])
+    monkeypatch.setattr(sharding, "SENT_ROWS", 1000, raising=False)
+    n, limit = 300_000, 80 * sharding.ROW_BYTES
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    out = sharding.assign(docs, limit)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.select("shard", "n_bytes", "local_depth").toPandas()
+    assert len(rows) == n
+    size = rows.groupby("shard")["n_bytes"].agg(["sum", "size"])
+    assert ((size["sum"] <= limit) | (size["size"] == 1)).all()
+    below = Counter()
+    for shard, n_bytes in size["sum"].items():
+        for d in range(1, len(shard)):
+            below[shard[:d]] += n_bytes
+    assert all(n_bytes > limit for n_bytes in below.values())
+    open_prefixes = made[0].filter("depth is null").count()
+    assert open_prefixes > 100 and made[1].count() <= 16 * open_prefixes < n / 4
+
+
 def test_sharding_files(spark, tmp_path):
     docs = frame(spark, [(i, "y" * 100) for i in range(100)])
     assigned = sharding.assign(docs, 1000).select("doc_id", "text", "shard", "page")
