@@ -200,6 +200,24 @@ def test_failures_of_the_plug_ins(spark, tmp_path):
     assert t["decisions"].count() == 5
 
 
+def test_few_bad_rows_leave_the_others_in_large_batches(spark):
+    def load():
+        def model(pdf):
+            if (pdf["score"] % 100 == 7).any():
+                raise ValueError(f"no features of {pdf['id'].iloc[0]}" if len(pdf) == 1 else "batch")
+            pdf["vector"], pdf["local"] = [[float(len(pdf))]] * len(pdf), [[[1.0]]] * len(pdf)
+            return pdf
+        return model
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.lit("s").alias("source_id"), F.col("id").cast("double").alias("score"))
+    out = R.guarded(rows.coalesce(1), load, RUN.FINGERPRINT_SQL, ("id", "source_id")).collect()
+    bad = {r.id: r.error for r in out if r.error is not None}
+    assert sorted(r.id for r in out) == sorted(map(str, range(2000)))
+    assert bad == {str(i): f"ValueError: no features of {i}" for i in range(7, 2000, 100)}
+    assert all(r.error_kind == "row" and r.vector is None for r in out if r.id in bad)
+    assert sum(r.vector[0] > 10 for r in out if r.id not in bad) > 1500
+
+
 def test_unloadable_function_fails_all_that_were_at_work(spark):
     def unloadable():
         raise RuntimeError("no weights")
